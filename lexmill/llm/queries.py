@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secrets
+from . import bpe, decontaminate, language, near_dup, page_text, quality_model, quality_rules, secrets
 from .common import table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -29,10 +38,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.rule_ledger(table(spark, sf_dir, "documents")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_main_text": op1_page_main_text,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_minhash_containment": op10_minhash_containment,
 }
 
 OP7_SQL = r"""
@@ -53,4 +80,26 @@ b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_wo
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.d WHERE r.m < l.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, x.m AS component_id, x.m = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT d, min(m) AS m FROM r GROUP BY d) x ON x.d = d.doc_id
+"""
+
+OP10_SQL = r"""
+WITH t AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM t),
+g AS (SELECT DISTINCT side, id, array_to_string(ws[i:i + 4], ' ') AS s, false AS short FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT side, id, array_to_string(ws, ' '), true FROM w WHERE len(ws) BETWEEN 1 AND 4),
+q AS (SELECT id, count(*) AS n FROM g WHERE side = 1 GROUP BY id),
+p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c FROM g d JOIN g i ON d.s = i.s AND d.short = i.short WHERE d.side = 0 AND i.side = 1 GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(c AS BIGINT) AS n_shared, c / n AS containment FROM p JOIN q ON q.id = p.item_id WHERE 100 * c >= 80 * n
+"""
+
+ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_minhash_containment": OP10_SQL}
