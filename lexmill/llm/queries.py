@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, near_dup, page_text, quality_model, quality_rules, secrets, suffix_dedup
+from . import bpe, decontaminate, language, near_dup, page_text, paragraphs, quality_model, quality_rules, secrets, suffix_dedup
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.removed_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_docs(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_main_text": op1_page_main_text,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
@@ -107,4 +112,18 @@ p AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c FROM g d JOIN g i ON
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(c AS BIGINT) AS n_shared, c / n AS containment FROM p JOIN q ON q.id = p.item_id WHERE 100 * c >= 80 * n
 """
 
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_minhash_containment": OP10_SQL}
+OP4_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM t),
+w AS MATERIALIZED (SELECT doc_id * 16777216 + i - 1 AS id, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws FROM u),
+k AS MATERIALIZED (SELECT id, ws FROM w WHERE len(ws) >= 20),
+g AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM k)),
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT id AS d, id AS m FROM k UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.d WHERE r.m < l.b)
+SELECT x.d // 16777216 AS doc_id, x.d % 16777216 AS paragraph, CAST(len(k.ws) AS BIGINT) AS n_words, x.m // 16777216 AS kept_doc_id, x.m % 16777216 AS kept_paragraph
+FROM (SELECT d, min(m) AS m FROM r GROUP BY d) x JOIN k ON k.id = x.d WHERE x.m <> x.d
+"""
+
+ORACLES: dict[str, str] = {"op4_paragraph_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_minhash_containment": OP10_SQL}
