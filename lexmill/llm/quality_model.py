@@ -27,7 +27,9 @@ MAX_TRAIN = 12_000
 BITS, RANK = 14, 6
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-EPOCHS, BATCH, RATE = 8, 256, 0.08
+EPOCHS, BATCH, RATE = 8, 64, 0.08
+#: Mini-batches that a fit takes at least; few labelled rows are read more often.
+MIN_STEPS = 400
 L2 = 1e-4
 
 #: Classes of bytes whose shares are structure statistics.
@@ -122,7 +124,7 @@ class FactorMachine:
         self.bias = float(np.log(rate / (1 - rate)))
         gw, gv, gb = np.full(len(self.weights), 1e-6), np.full(self.factors.shape, 1e-6), 1e-6
         rng = np.random.default_rng(seed)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(y)))):
             order = rng.permutation(len(y))
             for b in range(0, len(y), BATCH):
                 take = order[b : b + BATCH]
