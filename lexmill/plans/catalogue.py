@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import document_plans
+
+_ALL = [document_plans.R]
+QUERIES = {k: v for r in _ALL for k, v in r.queries.items()}
+ORACLES = {k: v for r in _ALL for k, v in r.oracles.items()}
