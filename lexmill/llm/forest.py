@@ -35,7 +35,7 @@ from .components import components
 from .shingles import signatures
 
 #: Members up to which a region compares pairs in a join; members of a block beyond that.
-SMALL, BLOCK = 48, 512
+SMALL, BLOCK = 48, 1024
 #: Words of 64 bits of the filter.
 FILTER_WORDS = 1 << 19
 
@@ -56,6 +56,22 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), -1)
 
 
+def region_keys(sig: np.ndarray) -> np.ndarray:
+    """(rows, trees): a key of each tree's prefix of signatures of shape (rows, trees, depth)."""
+    rows, trees, depth = sig.shape
+    key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03), (rows, trees))
+    for d in range(depth):
+        key = mix64(key ^ sig[:, :, d].astype(np.uint64))
+    return key
+
+
+def common_count(u: np.ndarray, v: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(u) > len(v):
+        u, v = v, u
+    return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(v) else 0
+
+
 def regions_of(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
     """(region, node, n): the regions of each node, one a tree."""
 
@@ -63,10 +79,7 @@ def regions_of(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = _rows(b.column("sig")).reshape(b.num_rows, trees, depth)
-            key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03), (b.num_rows, trees))
-            for d in range(depth):
-                key = mix64(key ^ sig[:, :, d].astype(np.uint64))
+            key = region_keys(_rows(b.column("sig")).reshape(b.num_rows, trees, depth))
             at = pa.array(np.repeat(np.arange(b.num_rows), trees))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column("node").take(at), b.column("n").cast(pa.int32()).take(at)], ["region", "node", "n"])
 
@@ -163,12 +176,7 @@ class Linker:
     def confirm(self, pairs: DataFrame) -> None:
         """Add the pairs whose full sets hold the bound to the links."""
         percent = self.percent
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = cut(wanted)
-        new = cut(self.read_sets(wanted).join(wanted, "node", "left_semi"))
-        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        self.load(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = pairs.join(self.sets.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a").join(self.sets.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +184,21 @@ class Linker:
                 keep = []
                 for ha, hb in zip(x.column("ha"), x.column("hb")):
                     u, v = (np.frombuffer(h.as_buffer(), np.uint64) for h in (ha, hb))
-                    if len(u) > len(v):
-                        u, v = v, u
-                    common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(v) else 0
+                    common = common_count(u, v)
                     keep.append(100 * common >= percent * (len(u) + len(v) - common))
                 yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
         found = cut(both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
         self.links = found if self.links is None else self.links.unionByName(found)
 
+    def load(self, wanted: DataFrame) -> None:
+        """Read the full sets of nodes that are not there yet."""
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = cut(wanted)
+        new = cut(self.read_sets(wanted).join(wanted, "node", "left_semi"))
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+
     def placed(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Members of regions that still hold several components, with their component and that of the leader (cl)."""
         own = members.join(found, "node", "left").select("region", "node", "n", "least", "nl", F.coalesce("component", "node").alias("comp"))
@@ -211,35 +225,60 @@ class Linker:
         small = mixed.filter(f"m <= {SMALL}")
         other = small.select("region", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
         pairs = small.filter("outside").join(other, "region").filter(f"comp <> comp2 and {self.fits('n', 'n2')}").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        more = cut(self.alike(pairs.join(tried, ["a", "b"], "left_anti")))
+        near = not more.isEmpty()
+        if near:
+            self.confirm(more)
         large = mixed.filter(f"m > {SMALL}")
+        if not large.isEmpty():
+            near = True
+            self.links = self.links.unionByName(cut(self.cross_blocks(large)))
+        return cut(components(self.links)) if near else found
+
+    def cross_blocks(self, large: DataFrame) -> DataFrame:
+        """Links (a, b) that join different components in large regions, confirmed on the full sets.
+
+        A block of outsiders meets a block of members in a task of bounded size. A pair that shares regions of several
+        trees is looked at in the first of them only, and pairs that links found in the task have joined are passed
+        over, so a task returns fewer links than it has nodes.
+        """
+        self.load(large.select("node").distinct())
         k = large.groupBy("region").agg(F.sum(F.col("outside").cast("int")).alias("k"))
-        far = self.cross_blocks(large.join(k, "region")).distinct()
-        more = cut(self.alike(pairs.join(tried, ["a", "b"], "left_anti")).union(far.join(tried, ["a", "b"], "left_anti")).distinct())
-        if not more.isEmpty():
-            self.confirm(more)
-            found = cut(components(self.links))
-        return found
-
-    def cross_blocks(self, mixed: DataFrame) -> DataFrame:
-        """Near pairs (a, b) of different components in large regions."""
-        percent, least = self.percent, self.least_equal
+        percent, least, trees, depth = self.percent, self.least_equal, self.trees, self.depth
 
         def run(x: pd.DataFrame) -> pd.DataFrame:
             a, b = x[x.side == 0], x[x.side == 1]
             out: list[tuple[int, int]] = []
             if len(a) and len(b):
-                left, right = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a.sig, b.sig))
-                nb, cb, zb = b.node.to_numpy(), b.comp.to_numpy(), b.n.to_numpy()
-                for node, comp, n, s in zip(a.node, a.comp, a.n, left):
-                    hit = (cb != comp) & (100 * np.minimum(zb, n) >= percent * np.maximum(zb, n))
-                    hit[hit] = (right[hit] == s).mean(1) >= least
-                    out += [(min(node, m), max(node, m)) for m in nb[hit].tolist()]
+                left, right = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), trees, depth) for s in (a.sig, b.sig))
+                tree = int(np.flatnonzero(region_keys(left[:1])[0] == np.uint64(np.int64(x.region.iloc[0])))[0])
+                comps, place = np.unique(np.concatenate([a.comp, b.comp]), return_inverse=True)
+                group = np.arange(len(comps))  # components of the task, merged as links are found
+                ca, cb = place[: len(a)], place[len(a) :]
+                nb, zb = b.node.to_numpy(), b.n.to_numpy()
+                sets = [np.frombuffer(h, np.uint64) for h in b.hashes]
+                for node, n, c, s, h in zip(a.node, a.n, ca, left, a.hashes):
+                    own = np.frombuffer(h, np.uint64)
+                    hit = np.flatnonzero((group[cb] != group[c]) & (100 * np.minimum(zb, n) >= percent * np.maximum(zb, n)))
+                    equal = right[hit] == s
+                    share = equal.mean((1, 2))
+                    first = equal.all(2)[:, :tree].any(1)
+                    order = np.flatnonzero((share >= least) & ~first)
+                    for i in hit[order[np.argsort(-share[order], kind="stable")]].tolist():
+                        if group[cb[i]] == group[c]:
+                            continue
+                        common = common_count(own, sets[i])
+                        if 100 * common >= percent * (len(own) + len(sets[i]) - common):
+                            out.append((min(node, nb[i]), max(node, nb[i])))
+                            group[group == group[cb[i]]] = group[c]
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         blocks = lambda count: F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
         at = lambda count: F.pmod(F.xxhash64("node"), blocks(count)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), blocks(count) - 1))
-        rows = mixed.join(self.nodes.select("node", "sig"), "node")
-        outs = rows.filter("outside").select("region", "node", "comp", "n", "sig", F.lit(0).alias("side"), "m", at("k").alias("i")).select("region", "node", "comp", "n", "sig", "side", "i", every("m").alias("j"))
-        ins = rows.select("region", "node", "comp", "n", "sig", F.lit(1).alias("side"), "k", at("m").alias("j")).select("region", "node", "comp", "n", "sig", "side", every("k").alias("i"), "j")
-        return outs.unionByName(ins).groupBy("region", "i", "j").applyInPandas(run, "a long, b long")
+        own = ("region", "node", "comp", "n", "side")
+        marked = large.join(k, "region")
+        outs = marked.filter("outside").select("region", "node", "comp", "n", F.lit(0).alias("side"), "m", at("k").alias("i")).select(*own, "i", every("m").alias("j"))
+        ins = marked.select("region", "node", "comp", "n", F.lit(1).alias("side"), "k", at("m").alias("j")).select(*own, every("k").alias("i"), "j")
+        rows = outs.unionByName(ins).join(self.nodes.select("node", "sig"), "node").join(self.sets, "node")
+        return rows.groupBy("region", "i", "j").applyInPandas(run, "a long, b long")

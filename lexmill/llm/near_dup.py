@@ -1,20 +1,12 @@
-"""MinHash near-duplicates by an LSH forest.
+"""MinHash near-duplicates of whole documents by the LSH forest of `forest`.
 
-A forest of several sorted signature orders: each order sorts the documents by its own run of MinHash values, and
-documents that share a prefix of `DEPTH` values are a region of neighbours. Regions yield candidates in two rounds whose
-cost follows the number of rows, not of pairs:
-
-1. every member against the region's least document. Verified links give first components.
-2. only regions that still hold several components: members outside the component of the least document against the
-   members of other components. Small regions compare all such members. In larger ones the depth adapts: members are
-   dealt into blocks, and blocks that hold an outsider are compared with all blocks, by signatures, inside the task.
-
-Exact copies (equal shingle sets) are one node from the start. A link is confirmed on the full sets: it holds where
-100 * intersection >= PERCENT * union. Two documents at the bound share no region with a chance of (1 - 0.85**4)**24,
-2e-8; the signature filter before the exact check passes a linked pair but for one in a million.
+Exact copies (equal shingle sets) are one node from the start, the least doc_id among them. A link is confirmed on the
+full sets. Two documents at the bound share no region with a chance of (1 - 0.85**4)**24, 2e-8.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing; a text of fewer words than a
-shingle has its whole sequence as its one shingle. Repeated rows are copies of each other and share a component.
+shingle has its whole sequence as its one shingle. Repeated rows are copies of each other and share a component; rows
+that share a doc_id but not a text are taken for versions of one document, linked with each other. A null doc_id is
+kept, with its class's component.
 """
 
 from __future__ import annotations
@@ -22,22 +14,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
-from .shingles import chunks, functions, shingle_sets, signatures, text_buffer
+from .forest import Linker, bit_filter, may_hold, set_key, sketches
+from .shingles import chunks, functions, shingle_sets, text_buffer
 
 SIZE = 5
 TREES, DEPTH = 24, 4
 PERCENT = 85
-#: Least share of equal signature values for the exact check; five standard deviations under 0.85.
-LEAST_EQUAL = 0.66
-#: Members up to which a region compares all pairs in a join; members of a block beyond that.
-SMALL, BLOCK = 48, 512
 
 
 def sketch(docs: DataFrame, size: int = SIZE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -52,114 +39,30 @@ def sketch(docs: DataFrame, size: int = SIZE, trees: int = TREES, depth: int = D
                 sets = shingle_sets(data, offsets[i : j + 1], size)
                 n += [len(s) for s in sets]
                 keys += [set_key(s) for s in sets]
-                sigs += [x.tobytes() if len(s) else None for x, s in zip(signatures(sets, muls), sets)]
+                sigs += sketches(sets, muls)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_key binary, sig binary")
 
 
-def set_key(s: np.ndarray) -> bytes | None:
-    """A 128-bit key of a set of 64-bit hashes."""
-    import hashlib
-
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-
-
-def forest(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(region, node, n): the regions of each node, one a tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, trees, depth) if b.num_rows else np.zeros((0, trees, depth), np.uint32)
-            key = np.zeros((b.num_rows, trees), np.uint64)
-            for d in range(depth):
-                key = (key ^ sig[:, :, d]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            key = (key + np.arange(trees, dtype=np.uint64)) * np.uint64(0xD1B54A32D192ED03)
-            node, n = b.column("node"), b.column("n")
-            at = pa.array(np.repeat(np.arange(b.num_rows), trees))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node.take(at), n.take(at)], ["region", "node", "n"])
-
-    return nodes.select("node", "n", "sig").mapInArrow(run, "region long, node long, n long")
+def document_sets(docs: DataFrame, size: int = SIZE):
+    """A reader of (node, hashes) of the documents that a filter lets pass: sorted 64-bit hashes as bytes."""
 
+    def read(wanted: DataFrame) -> DataFrame:
+        bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
-def _fits(a: str, b: str) -> str:
-    """Sizes that allow a link."""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(may_hold(bits.value, b.column("node").to_numpy(zero_copy_only=False))))
+                data, offsets = text_buffer(b.column("text"))
+                for i, j in chunks(offsets):
+                    sets = shingle_sets(data, offsets[i : j + 1], size)
+                    yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
+        own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+        return own.mapInArrow(run, "node long, hashes binary")
 
-def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in LEAST_EQUAL of their values."""
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                left, right = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint32).reshape(x.num_rows, -1) for c in ("sa", "sb"))
-                x = x.filter(pa.array((left == right).mean(1) >= LEAST_EQUAL))
-            yield x.select(["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes): the full sets of the wanted nodes, sorted 64-bit hashes as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_buffer(b.column("text"))
-            for i, j in chunks(offsets):
-                sets = shingle_sets(data, offsets[i : j + 1], size)
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
-
-    # a node is the least doc_id of its class; rows that repeat that id with another text are told apart by the class key
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    return own.mapInArrow(run, "node long, hashes binary")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets hold the bound."""
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            keep = []
-            for ha, hb in zip(x.column("ha"), x.column("hb")):
-                u, v = (np.frombuffer(h.as_buffer(), np.uint64) for h in (ha, hb))
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                common = int((v[np.minimum(at, len(v) - 1)] == u).sum()) if len(v) else 0
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
-            yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
-
-
-def _cross_blocks(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in large regions: blocks of outsiders against blocks of members, by signatures."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        a, b = x[x.side == 0], x[x.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        left, right = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (a.sig, b.sig))
-        nb, cb, zb = b.node.to_numpy(), b.comp.to_numpy(), b.n.to_numpy()
-        out = []
-        for node, comp, n, s in zip(a.node, a.comp, a.n, left):
-            hit = (cb != comp) & (100 * np.minimum(zb, n) >= PERCENT * np.maximum(zb, n))
-            hit[hit] = (right[hit] == s).mean(1) >= LEAST_EQUAL
-            out += [(min(node, m), max(node, m)) for m in nb[hit].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    blocks = lambda count: F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
-    at = lambda count: F.pmod(F.xxhash64("node"), blocks(count)).cast("int")
-    rows = mixed.join(nodes.select("node", "sig"), "node")
-    every = lambda count: F.explode(F.sequence(F.lit(0), blocks(count) - 1))
-    outs = rows.filter("outside").select("region", "node", "comp", "n", "sig", F.lit(0).alias("side"), at("k").alias("i"), every("m").alias("j"))
-    ins = rows.select("region", "node", "comp", "n", "sig", F.lit(1).alias("side"), every("k").alias("i"), at("m").alias("j"))
-    return outs.unionByName(ins).groupBy("region", "i", "j").applyInPandas(run, "a long, b long")
+    return read
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -169,34 +72,14 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key", F.col("n_shingles").alias("n"))
         .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "sig")).alias("m")).select("set_key", "n", "m.*")
     )
-    rows = forest(nodes)
-    regions = rows.groupBy("region").agg(F.min("node").alias("least"), F.min("n").alias("nl"), F.max("n").alias("nh"), F.count("*").alias("m")).filter(f"m > 1 and {PERCENT} * nl <= 100 * nh")
-    members = cut(rows.join(regions.select("region", "least", "m"), "region"))
-    first = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    first = first.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").filter(_fits("na", "nb")).select("a", "b")
-    alike = cut(_alike(first, nodes))
-
-    # round 2 needs the components of round 1, and both need the sets of all that may be linked
-    sets = cut(_sets(docs, alike.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size))
-    links = cut(confirmed(alike, sets, percent))
-    found = cut(components(links))
-    placed = members.join(found, "node", "left").select("region", "node", "n", "least", F.coalesce("component", "node").alias("comp"))
-    state = placed.groupBy("region").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m"), F.min_by("comp", "node").alias("cl")).filter("c1 <> c2")
-    mixed = placed.join(state.select("region", "m", "cl"), "region").withColumn("outside", F.expr("comp <> cl"))
-    mixed = cut(mixed)
-    small = mixed.filter(f"m <= {SMALL}")
-    other = small.select("region", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
-    pairs = small.filter("outside").join(other, "region").filter(f"comp <> comp2 and {_fits('n', 'n2')}").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    more = _alike(pairs.join(alike, ["a", "b"], "left_anti"), nodes)
-    large = mixed.filter(f"m > {SMALL}")
-    k = large.groupBy("region").agg(F.sum(F.col("outside").cast("int")).alias("k"))
-    more = cut(more.union(_cross_blocks(large.join(k, "region"), nodes).distinct().join(alike, ["a", "b"], "left_anti")).distinct())
-    if not more.isEmpty():
-        lacking = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        sets = sets.union(cut(_sets(docs, lacking, size)))
-        links = links.union(confirmed(more, sets, percent))
-        found = cut(components(links))
+    found = Linker(nodes, document_sets(docs, size), percent, TREES, DEPTH).run()
     classes = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.coalesce(F.col("c"), F.col("doc_id").cast("long"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of near-duplicates, its least doc_id; rows without words all stay."""
+    kept = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")

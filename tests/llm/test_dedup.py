@@ -64,7 +64,7 @@ def frame(spark, texts, first=0):
 @pytest.mark.parametrize("small", [48, 2])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(forest, "SMALL", small)
-    monkeypatch.setattr(forest, "BLOCK", 512 if small > 2 else 7)
+    monkeypatch.setattr(forest, "BLOCK", 1024 if small > 2 else 7)
     texts = corpus()
     sets = {i: shingles(t) for i, t in enumerate(texts)}
     want = brute_components(sets, 85)
@@ -212,3 +212,9 @@ def test_items_in_several_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"a{i} b c d e f{i}") for i in range(5)], "item_id long, text string")
     df = frame(spark, [f"x y a{i} b c d e f{i} z" for i in range(5)])
     assert {tuple(r)[:2] for r in decontaminate.contained_items(df, bench).collect()} == {(i, i) for i in range(5)}
+
+
+def test_bytes_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, "n" * 40 + "m" * 120, 1), (1, "m" * 110, 2), (2, None, 3), (3, "", 4), (4, "other", 5)], "doc_id long, text string, n_bytes int")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(df).collect()}
+    assert got == {None: 119, 1: 110, 2: 0, 3: 0, 4: 0}
