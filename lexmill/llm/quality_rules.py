@@ -127,3 +127,9 @@ def ablation(ledger: DataFrame, policy: str = POLICY) -> DataFrame:
     row = ledger.agg(*sums)
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(f"{r}_failed"), F.lit(0)).alias("n_failed"), F.coalesce(F.col(f"{r}_alone"), F.lit(0)).alias("n_alone"), F.coalesce(F.col(f"{r}_without"), F.lit(0)).alias("n_kept_without")) for r in RULES]))
     return row.select("n_docs", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), each.alias("x")).select("x.*", "n_docs", "n_kept")
+
+
+def passing(docs: DataFrame, policy: str = POLICY, text_col: str = "text") -> DataFrame:
+    """docs without the rows that a policy rejects; all columns pass, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return apply_policy(rule_ledger(docs.select(row, F.col(text_col).alias("_text")), "_text", ("_row",)), policy).filter("kept").select("_row.*")

@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,16 +104,30 @@ def report(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     )
 
 
+def masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """text with each span, or union of overlapping spans, replaced by a mark."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with every reported span of the text replaced by a mark; overlapping spans are replaced as one."""
+    """docs with every reported span of the text replaced by a mark; all columns pass, n_chars follows the text."""
     hit = classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans")).dropDuplicates(["_d"])
-    # the text between merged spans: fold over spans sorted by start, keeping (output, end of the last span)
-    text = F.col("text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    both = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans, t = b.column("_spans"), b.schema.get_field_index("text")
+            if spans.null_count < len(spans):
+                texts = [x if s is None or x is None else masked(x, [(y["start"], y["end"]) for y in s], mark) for x, s in zip(b.column(t).to_pylist(), spans.to_pylist())]
+                b = b.set_column(t, b.schema.field(t), pa.array(texts, b.schema.field(t).type))
+                if (n := b.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(b.schema.field(n).type):
+                    b = b.set_column(n, b.schema.field(n), pa.array([c if s is None or x is None else len(x) for c, x, s in zip(b.column(n).to_pylist(), texts, spans.to_pylist())], b.schema.field(n).type))
+            yield b.select(docs_columns)
+
+    docs_columns = docs.columns
+    return both.mapInArrow(run, docs.schema)
