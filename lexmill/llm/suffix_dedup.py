@@ -17,11 +17,12 @@ bucket identifiers at later offsets, whose refined values serve the next, double
 
 Places reach a bucket sorted by context and document and are read as a stream, one pending row at a time. A place that
 repeats an earlier one of its own batch is known as a repeat at once and is dealt out by its document, not its bucket,
-so a passage or document with very many copies doesn't gather in one task.
+so a passage or document with very many copies doesn't gather in one task. Documents in which nothing repeats are told
+by a bit filter of fixed size and never moved.
 
-Null text counts as empty; texts under 100 bytes lose nothing. Repeated rows of one doc_id with one text: the later
-row's bytes go, as a string that starts earlier in the order (doc_id, then order of rows' texts) exists only for ids
-that differ; such rows should be made unique first. Extra columns are not read.
+Null text counts as empty; texts under 100 bytes lose nothing. Rows that share a doc_id are one document in the order,
+so repeated rows all lose the bytes that any of them repeats of the others; make ids unique where that is unwanted. A
+null doc_id comes before all others. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix64
+from .forest import bit_filter, may_hold
 from .shingles import _BACK, _BASE, chunks, powers, text_buffer
 
 LENGTH, Q = 100, 24
 REACH = LENGTH - Q
 WIDE = REACH + LENGTH
+#: Stands for a null doc_id: before all others.
+NO_ID = -(1 << 62)
 #: Contexts refined at once; a bucket with more is refined in several blocks.
 BLOCK = 4096
 _rng = np.random.default_rng(77)
@@ -82,7 +86,7 @@ def anchors(part: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(deal, bucket, context, doc_id, place, known): an anchor a row."""
+    """(bucket, context, doc_id, place): an anchor a row. A known repeat has ~place and a key of its own as its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,62 +101,52 @@ def _places(docs: DataFrame) -> DataFrame:
                 continue
             doc, place, bucket, context = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((place, doc, context, bucket))
-            same = np.zeros(len(order), bool)
-            same[1:] = (bucket[order][1:] == bucket[order][:-1]) & (context[order][1:] == context[order][:-1])
             known = np.zeros(len(order), bool)
-            known[order] = same
-            deal = np.where(known, mix64(doc.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), bucket)
+            known[order[1:]] = (bucket[order][1:] == bucket[order][:-1]) & (context[order][1:] == context[order][:-1])
+            bucket = np.where(known, mix64(doc.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), bucket)
+            context, place = np.where(known, np.uint64(0), context), np.where(known, ~place, place)
             for k in range(0, len(doc), 200_000):
                 s = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(deal[s].view(np.int64)), pa.array(bucket[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(doc[s]), pa.array(place[s]), pa.array(known[s])], ["deal", "bucket", "context", "doc_id", "place", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(doc[s]), pa.array(place[s])], ["bucket", "context", "doc_id", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "deal long, bucket long, context long, doc_id long, place int, known boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, context long, doc_id long, place int")
 
 
 def _judged(places: DataFrame) -> DataFrame:
     """(doc_id, place, refine): repeats as a whole, and places to refine; places alone in their bucket go."""
-    names = ["deal", "bucket", "context", "doc_id", "place", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # bucket, context, several, pending (doc, place) of the row before
+        last: tuple | None = None  # bucket, context, whether several contexts were seen, pending (doc, place)
         for b in batches:
-            if not b.num_rows:
-                continue
-            known = b.column("known").to_numpy(zero_copy_only=False)
-            out_d, out_p, out_r = [b.column("doc_id").to_numpy()[known]], [b.column("place").to_numpy()[known]], [np.zeros(int(known.sum()), bool)]
-            bucket, context, doc, place = (b.column(c).to_numpy()[~known] for c in names[1:5])
+            bucket, context, doc, place = (b.column(c).to_numpy() for c in ("bucket", "context", "doc_id", "place"))
+            known = place < 0
+            out = [(doc[known], ~place[known], np.zeros(int(known.sum()), bool))]
+            bucket, context, doc, place = (x[~known] for x in (bucket, context, doc, place))
             n = len(bucket)
             if n:
-                new_b, new_c = np.ones(n, bool), np.ones(n, bool)
+                new_b, first = np.ones(n, bool), np.ones(n, bool)
                 new_b[1:] = bucket[1:] != bucket[:-1]
-                new_c[1:] = new_b[1:] | (context[1:] != context[:-1])
+                first[1:] = new_b[1:] | (context[1:] != context[:-1])
                 goes_on = last is not None and last[0] == bucket[0]
-                new_c[0] = not (goes_on and last[1] == context[0])
+                first[0] = not (goes_on and last[1] == context[0])
                 group = np.cumsum(new_b) - 1
-                contexts = np.bincount(group, new_c)
-                several = contexts > 1
+                several = np.bincount(group, first) > 1
                 if goes_on:
-                    head = int(contexts[0]) + (1 if new_c[0] or last[2] else 0)  # with the contexts before
-                    several[0] = last[2] or contexts[0] + (not new_c[0]) > 1 or bool(new_c[0])
+                    # a new context in the bucket's further rows makes several with the one before
+                    several[0] = last[2] or bool(first[group == 0].any())
                     if several[0] and last[3] is not None:
-                        out_d.append(np.array([last[3][0]]))
-                        out_p.append(np.array([last[3][1]], np.int32))
-                        out_r.append(np.array([True]))
-                    del head
-                first = new_c
+                        out.append((np.array([last[3][0]]), np.array([last[3][1]], np.int32), np.array([True])))
                 hit = ~first | several[group]
-                # the first place of the last bucket waits until a second context is seen
                 pending = None
                 if not several[-1]:
-                    tail = np.flatnonzero((group == group[-1]) & first)
-                    pending = (int(doc[tail[0]]), int(place[tail[0]])) if len(tail) else (last[3] if goes_on and group[-1] == 0 else None)
-                out_d.append(doc[hit])
-                out_p.append(place[hit])
-                out_r.append(first[hit])
+                    # the first place of the last bucket waits until a second context is seen
+                    head = np.flatnonzero((group == group[-1]) & first)
+                    pending = (int(doc[head[0]]), int(place[head[0]])) if len(head) else last[3]
+                out.append((doc[hit], place[hit], first[hit]))
                 last = (bucket[-1], context[-1], bool(several[-1]), pending)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_p)), pa.array(np.concatenate(out_r))], ["doc_id", "place", "refine"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["doc_id", "place", "refine"])
 
-    dealt = places.repartition("deal").sortWithinPartitions("deal", "context", "doc_id", "place")
+    dealt = places.repartition("bucket").sortWithinPartitions("bucket", "context", "doc_id", "place")
     return dealt.mapInArrow(run, "doc_id long, place int, refine boolean")
 
 
@@ -182,15 +176,30 @@ def digest(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int, s
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts as compressed bytes, to move less."""
+def _packed(docs: DataFrame, bits) -> DataFrame:
+    """Texts of the documents that a filter lets pass, as compressed bytes, to move less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            b = b.filter(pa.array(may_hold(bits.value, b.column("doc_id").to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack.compress((t.as_py() or "").encode()) for t in b.column("text")], pa.binary())], ["doc_id", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, packed binary")
+
+
+def _whole(docs: DataFrame, bits) -> DataFrame:
+    """Digests of the documents that a filter shows to be without repeats; they are not moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        none = np.zeros(0, np.int64)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([pack.compress((t.as_py() or "").encode()) for t in b.column("text")], pa.binary())], ["doc_id", "packed"])
+            b = b.filter(pa.array(~may_hold(bits.value, b.column("doc_id").to_numpy(zero_copy_only=False))))
+            rows = [digest((t.as_py() or "").encode(), none, none) for t in b.column("text")]
+            cols = [b.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return docs.mapInArrow(run, RESULT)
 
 
 def _first_pass(joined: DataFrame) -> DataFrame:
@@ -329,12 +338,14 @@ def _last_pass(rest: DataFrame) -> DataFrame:
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a row of docs."""
-    own = docs.select("doc_id", "text")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     judged = _judged(_places(own.filter(F.octet_length("text") >= LENGTH)))
-    found = judged.groupBy("doc_id").agg(F.collect_list(F.col("place").cast("long") * 2 + F.col("refine").cast("long")).alias("found"))
-    state = cut(_first_pass(_packed(own).join(found, "doc_id", "left").select("doc_id", "packed", "found")))
+    found = cut(judged.groupBy("doc_id").agg(F.collect_list(F.col("place").cast("long") * 2 + F.col("refine").cast("long")).alias("found")))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(found.select(F.col("doc_id").alias("node"))))
+    state = cut(_first_pass(_packed(own, bits).join(found, "doc_id", "left").select("doc_id", "packed", "found")))
     contexts = state.filter("contexts is not null").select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
     more = _refined(contexts).groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))).alias("more"))
     done = state.filter("packed is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rest = state.filter("packed is not null").select("doc_id", "packed", "spans").join(more, "doc_id", "left").select("doc_id", "packed", "spans", "more")
-    return done.unionByName(_last_pass(rest))
+    out = _whole(own, bits).unionByName(done).unionByName(_last_pass(rest))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
