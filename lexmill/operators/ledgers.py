@@ -16,7 +16,7 @@ def request_gaps(log: DataFrame, key: str, ts: str, order: str) -> DataFrame:
 def error_pairs(log: DataFrame, key: str, ts: str, order: str, error) -> DataFrame:
     """Rows at which a key has two errors in a row: where a stop rule would act."""
     w = Window.partitionBy(key).orderBy(ts, order)
-    return log.withColumn("_e", error).filter(F.col("_e") | ~F.col("_e")).withColumn("_p", F.lag("_e").over(w)).filter(F.col("_e") & F.coalesce("_p", F.lit(False))).drop("_e", "_p")
+    return log.withColumn("_e", error).filter("_e is not null").withColumn("_p", F.lag("_e").over(w)).filter(F.col("_e") & F.coalesce("_p", F.lit(False))).drop("_e", "_p")
 
 
 def success_streaks(log: DataFrame, key: str, ts: str, order: str, failure) -> DataFrame:
