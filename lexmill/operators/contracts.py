@@ -55,12 +55,64 @@ def score_range(value: Column, top: int) -> Column:
 
 def failure_class(message: Column) -> Column:
     """The class of a provider's failure; the first that matches counts."""
-    order = (("timeout", "timed out|timeout"), ("rate_limit", "rate limit|429"), ("quota", "quota|billing"), ("capacity", "capacity|overloaded|503"), ("authentication", "auth|401|403"), ("parse", "parse|json"), ("child_process", "child process|exit code"))
+    order = (
+        ("timeout", "timeout|timed out"), ("explicit_rate_limit", "explicit_rate_limit|rate limit|rate_limit|429"), ("quota", "quota|credits? exhausted"), ("explicit_capacity", "explicit_capacity|capacity|overloaded"),
+        ("authentication", "authentication|unauthorized|login required"), ("parse", "invalid|structured output|parse"), ("child_process_error", "exit code|child|tool"),
+    )
     low, out = F.lower(message), F
     for name, pattern in order:
         out = out.when(low.rlike(pattern), name)
-    return out.otherwise("unknown")
+    return out.otherwise("unknown_provider_error")
 
 
 def target_policy(total: Column, hard: int, preferred: int) -> Column:
-    return F.when(total >= preferred, "preferred_met").when(total >= hard, "hard_minimum_met").otherwise("not_met")
+    return F.when(total >= preferred, "preferred_target_met").when(total >= hard, "hard_min_met_preferred_not_met").otherwise("hard_min_not_met")
+
+
+#: Uses that a row of each split may have; fixed values.
+USES = ("gradient_usage", "training_usage", "training_eligible", "model_selection_usage", "hyperparameter_selection_usage", "checkpoint_selection_usage", "final_evaluation_usage")
+ALLOWED_USES = {"train": USES[:3], "validation": USES[3:6], "test": USES[6:]}
+
+
+def usage_errors(rows: DataFrame) -> Column:
+    """Uses of a row (boolean columns named as USES) that differ from what its split allows; a null never equals."""
+    wanted = lambda u: F.col("split").isin(*[s for s, us in ALLOWED_USES.items() if u in us])
+    return codes({u: ~F.col(u).eqNullSafe(wanted(u)) for u in USES})
+
+
+def review_contract(passed: Column, n_issues: Column) -> Column:
+    """A review passes without issues or fails with some; anything else is invalid."""
+    return passed.isNull() | (passed == (n_issues > 0))
+
+
+def leak_terms(text: Column, terms: tuple[str, ...], words: tuple[str, ...] = ()) -> Column:
+    """Forbidden terms that a text holds, in any case; `words` count only between non-letters."""
+    low = F.lower(text)
+    found = [F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in terms] + [F.when(low.rlike(rf"(?:^|[^a-z0-9]){w.lower()}(?:[^a-z0-9]|$)"), F.lit(w)) for w in words]
+    return F.array_sort(F.array_compact(F.array(*found)))
+
+
+def generated_flags(text: Column) -> dict[str, Column]:
+    """Health of a generated text."""
+    lines = T.paragraphs(text)
+    zh, letters = (F.length(F.regexp_replace(text, p, "")) for p in (r"[^一-鿿]", r"[^A-Za-z一-鿿]"))
+    rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "")
+    return {
+        "chinese_characters": zh.cast("long"), "chinese_ratio": F.round(zh / F.greatest(F.lit(1), letters), 6), "normal_title_body": (F.size(lines) >= 2) & (F.length(F.get(lines, F.lit(0))) <= 120) & (F.length(rest) >= 40),
+        "empty": F.trim(F.regexp_replace(text, T.WS, "")) == "", "garbled": text.rlike("�|[\\x00-\\x08]"), "non_task": (zh < 20) | (F.size(lines) < 2),
+    }
+
+
+def normalized_date(raw: Column) -> Column:
+    """An ISO date, or the date of an ISO timestamp; null (with a warning to be raised) for anything else."""
+    x = F.trim(raw)
+    return F.coalesce(F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x)), F.to_date(F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(x))))
+
+
+def unsupported_years(fact: Column, source: Column) -> Column:
+    """Years that a fact names and its source does not."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(fact, F.lit(r"((?:19|20)[0-9]{2})年"), F.lit(1))), lambda y: ~F.contains(source, y))
+
+
+def stability_codes(severe: Column, consecutive: Column, hits: Column, bleu: Column, rouge: Column, base_bleu: float, base_rouge: float) -> Column:
+    return codes({"severe": severe > 1, "consecutive": consecutive > 1, "token_limit": hits > 1, "bleu": bleu < 0.85 * base_bleu, "rouge_l": rouge < 0.90 * base_rouge})

@@ -12,6 +12,7 @@ from .registry import Registry
 
 R = Registry()
 
+_SPLIT_SQL_CONV = "s AS (SELECT doc_id, CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, CAST('0x' || substring(sha256('split|' || doc_id), 1, 8) AS BIGINT) % 10 AS b FROM documents))"
 _CONV = "c AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id)"
 
 
