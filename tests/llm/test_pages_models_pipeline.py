@@ -28,6 +28,8 @@ def test_blocks_of_a_page():
     assert page_text.blocks("<article><p>cut &am")[0] == ["cut &am"]
     assert page_text.blocks("<article><p>cut</p><p cla")[0] == ["cut"]
     assert page_text.blocks('<main><p title="a > b">x</p></main>')[0] == ["x"]
+    assert page_text.blocks('<div>bar</div><div class="post-content"><p>a <span class="ad">buy</span>b</p><article class="comment">no</article></div>')[0] == ["a b"]
+    assert page_text.blocks('<article><p>x</p><article class="comment-reply"><p>no</p></article><p>y</p></article>')[0] == ["x", "y"]
 
 
 def brute_lcs(a, b):
