@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut as cut
+
 #: White space of the word contracts, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -19,36 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: set[tuple[SparkSession, str]] = set()
-
-
-def _clean() -> None:
-    """Drop the written tables of this session, where the session still runs."""
-    for spark, path in list(_written):
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session has ended: the folder's owner clears it
-            pass
-
-
-atexit.register(_clean)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder that the cluster names in spark.checkpoint.dir.
-
-    A lost executor costs no recomputation, columns are compressed and can be pruned. Where no folder is set (tests),
-    one of our own is used. The tables go when the driver ends.
-    """
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/lexmill"
-    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.add((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind an expression to a lambda variable, so that it is evaluated once a row however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

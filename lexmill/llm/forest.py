@@ -1,14 +1,13 @@
 """The LSH forest: exact components of near-equal sets, without all pairs of any group.
 
 A forest of several sorted signature orders: each order sorts the nodes by its own run of MinHash values, and nodes
-that share a prefix of `depth` values are a region of neighbours. Links within one component tell nothing new, so three
+that share a prefix of `depth` values are a region of neighbours. Links within one component tell nothing new, so two
 rounds look only at what is still apart, and their cost follows the number of rows, not of pairs:
 
-1. every node against the least of all nodes that lead one of its regions;
-2. in regions that still hold several components, members against the region's leader where the components differ;
-3. in regions that still do, members outside the leader's component against members of other components: all such
-   pairs in small regions; in larger ones the depth adapts: members are dealt into blocks, and blocks of outsiders meet
-   blocks of members inside a task, which compares signatures and passes on near pairs only.
+1. every node against the least few of the nodes that lead its regions;
+2. in regions that then hold several components, members outside the leader's component against members of other
+   components: all such pairs in small regions; in larger ones the depth adapts: members are dealt into blocks, and
+   blocks of outsiders meet blocks of members inside a task, which compares signatures, then full sets.
 
 Each round confirms its links on the full sets: 100 * intersection >= percent * union. A pair at the bound shares no
 region with a chance of (1 - (percent / 100)**depth)**trees; the signature filter before the exact check lies five
@@ -30,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import cut, mix64
-from .components import components
 from .shingles import signatures
 
 #: Members up to which a region compares pairs in a join; members of a block beyond that.
 SMALL, BLOCK = 48, 1024
+#: Leaders that a node meets in the first round; the second round makes up for the others.
+LEADERS = 3
 #: Words of 64 bits of the filter.
 FILTER_WORDS = 1 << 19
 
@@ -208,19 +209,11 @@ class Linker:
     def run(self) -> DataFrame:
         """(node, component) of the nodes that have a link; component is the smallest node that can be reached."""
         members = cut(shared_regions(regions_of(self.nodes, self.trees, self.depth)))
-        led = members.filter(f"node <> least and {self.fits('n', 'nl')}")
-        tried = cut(self.alike(led.groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")).select("a", "b")))
+        led = members.filter(f"node <> least and {self.fits('n', 'nl')}").groupBy(F.col("node").alias("b")).agg(F.array_sort(F.collect_set("least")).alias("l"))
+        tried = cut(self.alike(led.select("b", F.explode(F.slice("l", 1, LEADERS)).alias("a")).select("a", "b")))
         self.confirm(tried)
         found = cut(components(self.links))
-
         mixed = self.placed(members, found)
-        again = mixed.filter(f"outside and {self.fits('n', 'nl')}").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = cut(self.alike(again))
-        if not more.isEmpty():
-            self.confirm(more)
-            tried = tried.unionByName(more)
-            found = cut(components(self.links))
-            mixed = self.placed(mixed.select("region", "node", "n", "least", "nl"), found)
 
         small = mixed.filter(f"m <= {SMALL}")
         other = small.select("region", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
