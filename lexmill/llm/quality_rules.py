@@ -26,11 +26,12 @@ RULES = (
     "few_words",  # under 20 words
     "repeated_windows",  # over 30 % of the words lie in repeated 8-word windows
     "symbols",  # over 3 symbols in 10 words
-    "repeated_lines",  # over 3 in 10 lines repeat an earlier line
+    "repeated_lines",  # over half of four or more lines repeat an earlier line
     "shouting",  # over 6 in 10 letters are capitals, in 20 words or more
     "exclamations",  # over 3 exclamation marks in 10 words
     "long_words",  # over 15 characters a word on average
     "short_words",  # under 2 characters a word on average
+    "stutter",  # over 3 in 10 words equal the word before
 )
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 BASE_MASK = BIT["few_words"] | BIT["repeated_windows"]
@@ -74,9 +75,10 @@ def rule_ledger(docs: DataFrame, text_col: str = "text", keep: Iterable[str] = (
     """Measurements and failure bits (`fail_bits`) of each document; no shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    stutter = lambda w: F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: a == b), lambda x: x))
     of_words = let(
         _words(text),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")),
+        lambda w: F.struct(stutter(w).cast("long").alias("n_stutter"), F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words")),
     )
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     measured = docs.select(
@@ -93,11 +95,12 @@ def rule_ledger(docs: DataFrame, text_col: str = "text", keep: Iterable[str] = (
         "few_words": n < 20,
         "repeated_windows": 100 * c("n_repeat_words") > 30 * n,
         "symbols": 10 * c("n_symbols") > 3 * n,
-        "repeated_lines": 10 * c("n_dup_lines") > 3 * c("n_lines"),
+        "repeated_lines": (c("n_lines") >= 4) & (2 * c("n_dup_lines") > c("n_lines")),
         "shouting": (n >= 20) & (10 * c("n_capitals") > 6 * c("n_letters")),
         "exclamations": 10 * c("n_exclamations") > 3 * n,
         "long_words": c("word_chars") > 15 * n,
         "short_words": c("word_chars") < 2 * n,
+        "stutter": 10 * c("n_stutter") > 3 * n,
     }
     bits = sum((F.when(fails[r], F.lit(BIT[r])).otherwise(F.lit(0)) for r in RULES), F.lit(0))
     return measured.withColumn("fail_bits", bits.cast("long"))

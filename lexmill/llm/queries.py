@@ -81,12 +81,12 @@ d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM k),
 s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM d WHERE c > 1),
 r AS (SELECT doc_id, CAST(sum(least(coalesce(nx - i, 8), 8)) AS BIGINT) AS n_repeat_words FROM s GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
-  coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS BIGINT) AS n_stutter, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^!]+', '', 'g')) AS BIGINT) AS n_exclamations,
   CAST(length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS BIGINT) AS n_capitals, CAST(length(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]+', '', 'g')) AS BIGINT) AS n_letters
   FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
-b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
-  + 16 * (n_words >= 20 AND 10 * n_capitals > 6 * n_letters)::INT + 32 * (10 * n_exclamations > 3 * n_words)::INT + 64 * (word_chars > 15 * n_words)::INT + 128 * (word_chars < 2 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
+b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT + 8 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::INT
+  + 16 * (n_words >= 20 AND 10 * n_capitals > 6 * n_letters)::INT + 32 * (10 * n_exclamations > 3 * n_words)::INT + 64 * (word_chars > 15 * n_words)::INT + 128 * (word_chars < 2 * n_words)::INT + 256 * (10 * n_stutter > 3 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 

@@ -11,11 +11,15 @@ from test_dedup import brute_components, shingles, words_of
 from test_rules_secrets_bpe import brute_rules
 
 
+def words_raw(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t)
+
+
 def fails(t):
     n, chars, symbols, dup, repeat = brute_rules(t)
     lines = sum(1 for x in t.split("\n") if words_of(x))
     capitals, letters = len(re.findall("[A-ZÀ-ÖØ-Þ]", t)), len(re.findall("[A-Za-zÀ-ÖØ-öø-ÿ]", t))
-    return n < 20 or 10 * repeat > 3 * n or 10 * symbols > 3 * n or 10 * dup > 3 * lines or 10 * capitals > 6 * letters or 10 * t.count("!") > 3 * n or chars > 15 * n or chars < 2 * n
+    return n < 20 or 10 * repeat > 3 * n or 10 * symbols > 3 * n or (lines >= 4 and 2 * dup > lines) or 10 * sum(a == b for a, b in zip(words_raw(t), words_raw(t)[1:])) > 3 * n or 10 * capitals > 6 * letters or 10 * t.count("!") > 3 * n or chars > 15 * n or chars < 2 * n
 
 
 def secret_spans(docs):
