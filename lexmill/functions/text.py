@@ -184,3 +184,25 @@ def risk_features(title_: Column, body: Column) -> dict[str, Column]:
         "structure_score": longest + 30 * entities + 20 * numbers + 15 * relations + 20 * stages,
         "policy_score": 800 * quote.cast("int") + 300 * gap.cast("int") + 2 * F.length(title_),
     }
+
+
+#: Phrases of players that stand in for a video; fixed values.
+MEDIA_FALLBACK = r"(?i)(?:your browser does not support (?:the )?(?:html5 )?(?:video|audio)(?: tag)?\.?|您的浏览器不支持(?:HTML5)?(?:视频|音频)(?:播放|标签)?。?)"
+
+
+def media_fallbacks(x: Column) -> tuple[Column, Column]:
+    """(text without the phrases, how many there were)."""
+    return F.regexp_replace(x, MEDIA_FALLBACK, ""), F.regexp_count(x, F.lit(MEDIA_FALLBACK))
+
+
+def complete_paragraphs(body: Column, own: Column, fallback: Column) -> Column:
+    """(paragraphs, source): a page's paragraphs where they hold its whole body, else the fallback, else the body itself."""
+    same = lambda ps: delete_spaces(F.array_join(ps, "")) == delete_spaces(body)
+    pick = lambda ps, name: F.struct(ps.alias("paragraphs"), F.lit(name).alias("source"))
+    return F.when(same(own), pick(own, "own")).when(same(fallback), pick(fallback, "fallback")).otherwise(pick(F.array(body), "body"))
+
+
+def yaml_scalar(x: Column) -> Column:
+    """A YAML scalar: quoted where it would read as something else."""
+    plain = x.rlike(r"^[A-Za-z_./][A-Za-z0-9_./-]*$") & ~F.lower(x).isin("true", "false", "null", "yes", "no", "on", "off")
+    return F.when(x.isNull(), "null").when(plain, x).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'")))

@@ -241,3 +241,88 @@ def reviewer_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the verdicts of a sample agree."""
     d = judged(spark, sf_dir).filter("stage = 'final'").groupBy("sample_id").agg(F.count_distinct("publishable").alias("v"), F.count("*").alias("n")).filter("n > 1")
     return d.agg(F.count("*").alias("n_samples"), F.round(F.avg((F.col("v") == 1).cast("int")), 6).alias("verdict_agreement"))
+
+
+@R.query(f"""WITH {JUDGED_SQL}, {_COND}, b AS (SELECT * FROM k WHERE name = 'q4_draft') SELECT k.name, k.adjusted >= b.adjusted - 0.35 AND k.publishable >= b.publishable - 0.02 AS sufficient FROM k, b""")
+def base_relative_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions that stay within a margin of the base."""
+    k = _conditions(spark, sf_dir)
+    b = F.broadcast(k.filter("name = 'q4_draft'").select(F.col("adjusted").alias("ba"), F.col("publishable").alias("bp")))
+    return k.join(b).select("name", ((F.col("adjusted") >= F.col("ba") - 0.35) & (F.col("publishable") >= F.col("bp") - 0.02)).alias("sufficient"))
+
+
+@R.query(f"""WITH {_ISSUES}, v AS (SELECT user_id, CASE max(CASE severity WHEN 'blocking' THEN 3 WHEN 'major' THEN 2 ELSE 1 END) WHEN 3 THEN 'BLOCKING' WHEN 2 THEN 'MAJOR' ELSE 'MINOR' END AS verdict, count(*) FILTER (severity = 'blocking') > 0.12 * count(*) AS dropped, array_to_string(list_sort(list(DISTINCT issue_type) FILTER (severity = 'blocking')), '+') AS signature FROM i GROUP BY user_id),
+s AS (SELECT * FROM v WHERE NOT dropped), r AS (SELECT coalesce(max(c), 0) AS most_repeated FROM (SELECT count(*) AS c FROM s WHERE signature <> '' GROUP BY signature)), c AS (SELECT count(*) AS n, count(*) FILTER (verdict = 'BLOCKING') AS blocking, count(*) FILTER (verdict = 'MAJOR') AS major, CAST(0 AS BIGINT) AS technical FROM s)
+SELECT n, blocking, major, technical, most_repeated, blocking = 0 AND major <= 0.02 * n AND technical = 0 AND most_repeated < 2 AS passed FROM c, r""")
+def final_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final quality gate over the survivors of an audit."""
+    from ..operators.selection import final_gate as gate
+
+    rank = F.when(F.col("severity") == "blocking", 3).when(F.col("severity") == "major", 2).otherwise(1)
+    v = _issues(spark, sf_dir).groupBy("user_id").agg(F.max(rank).alias("r"), F.avg((F.col("severity") == "blocking").cast("double")).alias("share"), F.sort_array(F.collect_set(F.when(F.col("severity") == "blocking", F.col("issue_type")))).alias("t"))
+    audited = v.select(F.when(F.col("share") > 0.12, "dropped").otherwise("kept").alias("state"), F.element_at(F.array(F.lit("MINOR"), F.lit("MAJOR"), F.lit("BLOCKING")), F.col("r")).alias("verdict"), F.when(F.size("t") > 0, F.array_join("t", "+")).alias("signature"))
+    return gate(audited)
+
+
+@R.query(f"""WITH {_ISSUES}, m(issue_type, review_type) AS (VALUES ('click', 'style'), ('view', 'style'), ('error', 'fact'), ('purchase', 'fact'), ('signup', 'structure')), a AS (SELECT review_type AS issue, count(*) AS n FROM i JOIN m USING (issue_type) WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT 'fact' AS issue, count(*) AS n FROM i WHERE event_id % 2 = 1 AND severity = 'blocking')
+SELECT issue, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM r) GROUP BY issue""")
+def cross_taxonomy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two taxonomies merged through a map of types."""
+    kinds = F.create_map(*[F.lit(x) for p in {"click": "style", "view": "style", "error": "fact", "purchase": "fact", "signup": "structure"}.items() for x in p])
+    i = _issues(spark, sf_dir)
+    a = i.filter("event_id % 2 = 0").select(kinds[F.col("issue_type")].alias("issue")).filter("issue is not null")
+    r = i.filter("event_id % 2 = 1 and severity = 'blocking'").select(F.lit("fact").alias("issue"))
+    return a.unionByName(r).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@R.query(f"""WITH {JUDGED_SQL}, {_COND}, c AS (SELECT condition, round(avg(raw_total), 6) AS mean_raw FROM j WHERE stage = 'final' GROUP BY condition), d AS (SELECT condition, count(*) AS n_pairs FROM (SELECT sample_id, condition FROM j GROUP BY ALL HAVING count(*) = 2) GROUP BY condition)
+SELECT c.condition, c.mean_raw, d.n_pairs, k.adjusted AS final_adjusted, k.publishable AS final_publishable FROM c JOIN d USING (condition) JOIN k ON k.name = c.condition || '_final'""")
+def tradeoff_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three reports of a condition merged into one table."""
+    j = judged(spark, sf_dir)
+    c = j.filter("stage = 'final'").groupBy("condition").agg(F.round(F.avg("raw_total"), 6).alias("mean_raw"))
+    d = j.groupBy("sample_id", "condition").agg(F.count("*").alias("k")).filter("k = 2").groupBy("condition").agg(F.count("*").alias("n_pairs"))
+    k = _conditions(spark, sf_dir).filter(F.col("name").endswith("_final")).select(F.regexp_replace("name", "_final$", "").alias("condition"), F.col("adjusted").alias("final_adjusted"), F.col("publishable").alias("final_publishable"))
+    return c.join(d, "condition").join(k, "condition")
+
+
+@R.query(f"""WITH {_PAIRS_SQL} SELECT id, array_to_string(list_sort(list_filter([CASE WHEN length(trim(reference)) < 20 THEN 'prompt_too_short' END, CASE WHEN length(prediction) > 4000 THEN 'target_too_long' END, CASE WHEN prediction = reference THEN 'copied_prompt' END], lambda x: x IS NOT NULL)), '|') AS errors FROM p""")
+def export_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of an export record as codes."""
+    p, r = F.col("prediction"), F.col("reference")
+    return _pairs(spark, sf_dir).select("id", F.array_join(contracts.codes({"prompt_too_short": F.length(F.trim(r)) < 20, "target_too_long": F.length(p) > 4000, "copied_prompt": p == r}), "|").alias("errors"))
+
+
+@R.query("""SELECT event_id, CAST(json_extract(p, '$.data.k') AS BIGINT) AS k, json_extract_string(p, '$.data.name') AS name, CASE WHEN json_extract(p, '$.data.k') IS NULL THEN 'missing_k' END AS code FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{"data": {}}' ELSE '{"data": {"k": ' || (event_id % 7) || ', "name": "n' || event_id || '"}}' END AS p FROM events)""")
+def payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads to typed rows, with the code of what is missing."""
+    e = F.col("event_id")
+    p = F.when(e % 5 == 0, F.lit('{"data": {}}')).otherwise(F.concat(F.lit('{"data": {"k": '), (e % 7).cast("string"), F.lit(', "name": "n'), e.cast("string"), F.lit('"}}')))
+    x = table(spark, sf_dir, "events").select("event_id", F.from_json(p, "data struct<k:long,name:string>").alias("j"))
+    return x.select("event_id", F.col("j.data.k").alias("k"), F.col("j.data.name").alias("name"), F.when(F.col("j.data.k").isNull(), "missing_k").alias("code"))
+
+
+@R.query("""SELECT s.doc_id, s.scored_id = s.doc_id OR s.n = o.n AS identical FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS scored_id, length(text) AS n FROM documents) s JOIN (SELECT doc_id, length(text) AS n FROM documents) o ON o.doc_id = s.scored_id WHERE s.doc_id <> s.scored_id""")
+def reuse_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copied scores against their source."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("own"))
+    lang_free = own.join(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h")), "doc_id")
+    first = lang_free.groupBy("h").agg(F.min(F.struct("doc_id", "own")).alias("m"))
+    return lang_free.join(first, "h").filter(F.col("doc_id") != F.col("m.doc_id")).select("doc_id", (F.col("own") == F.col("m.own")).alias("identical"))
+
+
+@R.query(r"""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'invalid_url' WHEN regexp_extract(url, '^https?://([^/?#:]*)', 1) NOT LIKE '%.example.com' THEN 'unsupported_domain' WHEN NOT regexp_matches(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '^/(?:en|de)/') THEN 'unsupported_path' END AS code FROM pages""")
+def listing_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing URLs by host suffix and path prefix, with the code of what is wrong."""
+    from ..operators.pages import url_parts
+
+    p = url_parts(F.col("url"))
+    code = F.when(~p["scheme"].isin("http", "https"), "invalid_url").when(~p["host"].endswith(".example.com"), "unsupported_domain").when(~p["path"].rlike("^/(?:en|de)/"), "unsupported_path")
+    return table(spark, sf_dir, "pages").select("page_id", code.alias("code"))
+
+
+@R.query(f"WITH {ARTICLES_SQL}, f AS (SELECT doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps, body FROM a) SELECT doc_id, CASE WHEN regexp_replace(array_to_string(ps, ''), '\\s+', '', 'g') = regexp_replace(body, '\\s+', '', 'g') THEN 'own' ELSE 'body' END AS paragraph_source FROM f")
+def paragraph_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the paragraphs of an article hold its whole body."""
+    own = T.paragraphs(F.col("body"))
+    return articles(spark, sf_dir).select("doc_id", T.complete_paragraphs(F.col("body"), own, F.array().cast("array<string>"))["source"].alias("paragraph_source"))

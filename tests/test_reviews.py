@@ -113,3 +113,48 @@ def test_lineage_checks(spark):
 def test_rate_sample_is_exact_at_any_size(spark):
     for n in (0, 1, 19, 1000):
         assert sampling.rate_sample(spark.range(n).toDF("id"), "id", "x", 5).count() == -(-n * 5 // 100)
+
+
+def test_selection():
+    from lexmill.operators import selection
+
+    got = selection.balanced_positions({f"s{i}": ["a", "b", "c"] for i in range(24)}, "seed")
+    counts = {(c, i): sum(o[i] == c for o in got.values()) for c in "abc" for i in range(3)}
+    assert set(counts.values()) == {8}
+    assert [c for _, c in selection.apart([("1", "x"), ("2", "x"), ("3", "y"), ("4", "y")])] == ["x", "y", "x", "y"]
+    assert selection.resolve_artifact({"a/b": {"1", "2"}, "a": {"1"}}, {"1"}) == "a"
+    with pytest.raises(ValueError):
+        selection.resolve_artifact({"a": {"1"}, "b": {"1"}}, {"1"})
+    assert selection.sweet_spot(["q4"]) == "q4" and selection.sweet_spot(["q4", "q6"]) == "INCONCLUSIVE"
+    assert selection.matrix_errors({"a": {"r": 8, "l": 1}, "b": {"r": 16, "l": 1}, "c": {"r": 16, "l": 2}}, [("a", "b"), ("a", "c")], set()) == ["a:c:l,r"]
+    assert selection.guards({"model": "m", "dataset": "d", "seed": 1, "cutoff": 2048, "authorized": True}) == [] and "test_split_in_training" in selection.guards({"split": "test"})
+
+
+def test_coverage_picks(spark):
+    from lexmill.operators.selection import coverage_picks
+
+    d = spark.range(50).toDF("id")
+    got = coverage_picks(d, "id", "s", {"even": F.col("id") % 2 == 0, "large": F.col("id") > 40, "none": F.lit(False)}, 10).collect()
+    assert len(got) == 10 == len({r.id for r in got}) and [r.reason for r in got][:2] == ["even", "large"]
+
+
+def test_preliminary_groups():
+    from datetime import date
+
+    from lexmill.operators.grouping import preliminary_groups
+
+    e = [{"a": 1, "b": 2, "score": 0.9}, {"a": 2, "b": 3, "score": 0.8}, {"a": 4, "b": 5, "score": 0.7}, {"a": 5, "b": 6, "score": 0.6}]
+    days = {1: date(2024, 1, 1), 2: date(2024, 1, 2), 3: None, 4: date(2024, 1, 1), 5: date(2024, 3, 1), 6: date(2024, 3, 2)}
+    got, blocked = preliminary_groups(e, days, 2, 30, lambda a, b: (a, b) != (5, 6) and (b, a) != (5, 6))
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert [b["reason"] for b in blocked] == ["maximum_auto_group_size_exceeded", "maximum_auto_date_span_exceeded", "pairwise_compatibility_failed"]
+
+
+def test_small_text_functions(spark):
+    from lexmill.functions import python_text as P
+    from lexmill.functions import text as T
+
+    text, n = T.media_fallbacks(F.lit("a Your browser does not support the video tag. b"))
+    r = spark.range(1).select(text.alias("t"), n.alias("n"), T.yaml_scalar(F.lit("it's")).alias("y"), T.yaml_scalar(F.lit("true")).alias("z"), T.yaml_scalar(F.lit("abc/d")).alias("w"), T.complete_paragraphs(F.lit("a b"), F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b")))["source"].alias("s")).first()
+    assert tuple(r) == ("a  b", 1, "'it''s'", "'true'", "abc/d", "fallback")
+    assert P.keyphrases("“星湾计划” x", ["小标题一"], "正文“引用短语”") == ["小标题一", "引用短语", "星湾计划"]
