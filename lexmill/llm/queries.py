@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, language, near_dup, page_text, paragraphs, quality_model, quality_rules, secrets, suffix_dedup
 from .common import table
+from .oracles import OP3_SQL, OP6_SQL
 
 
 def tokenizer_path() -> str:
@@ -126,4 +127,4 @@ SELECT x.d // 16777216 AS doc_id, x.d % 16777216 AS paragraph, CAST(len(k.ws) AS
 FROM (SELECT d, min(m) AS m FROM r GROUP BY d) x JOIN k ON k.id = x.d WHERE x.m <> x.d
 """
 
-ORACLES: dict[str, str] = {"op4_paragraph_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_minhash_containment": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_secret_scan": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op4_paragraph_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_minhash_containment": OP10_SQL}

@@ -97,8 +97,9 @@ def report(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda f: F.size(F.filter("spans", f)).cast("long")
+    of_kind = lambda k: count(lambda s: s["kind"] == k)
     return classified(docs, max_owners).select(
-        "doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        "doc_id", *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(shown(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
         count(lambda s: s["specific"]).alias("n_owner_specific"), count(lambda s: ~s["specific"]).alias("n_copied"),
     )

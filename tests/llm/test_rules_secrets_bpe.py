@@ -76,6 +76,7 @@ def test_base_spans(spark):
     for i, _, spans in SECRET_CASES:
         base = ",".join(x for x in got[i].spans.split(",") if not x.startswith("owned"))
         assert base == spans, i
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [spans.count(k) for k in ("assign:", "access:", "hex:")], i
         assert got[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
 
 
