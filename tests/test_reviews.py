@@ -158,3 +158,31 @@ def test_small_text_functions(spark):
     r = spark.range(1).select(text.alias("t"), n.alias("n"), T.yaml_scalar(F.lit("it's")).alias("y"), T.yaml_scalar(F.lit("true")).alias("z"), T.yaml_scalar(F.lit("abc/d")).alias("w"), T.complete_paragraphs(F.lit("a b"), F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b")))["source"].alias("s")).first()
     assert tuple(r) == ("a  b", 1, "'it''s'", "'true'", "abc/d", "fallback")
     assert P.keyphrases("“星湾计划” x", ["小标题一"], "正文“引用短语”") == ["小标题一", "引用短语", "星湾计划"]
+
+
+def test_issue_tables(spark):
+    from lexmill.operators import experiments as X
+
+    i = spark.createDataFrame([("s", "number", ["F02", "F01"], "minor"), ("s", "number", ["F01", "F02", "F02"], "blocking"), ("s", "date", [], "major")], "sample_id string, issue_type string, fact_ids array<string>, severity string")
+    assert sorted(tuple(r) for r in X.merged_issues(i).collect()) == [("s", "date", "", "major", 1), ("s", "number", "F01,F02", "blocking", 2)]
+    a = spark.createDataFrame([(1, "x"), (1, "y")], "id long, t string")
+    b = spark.createDataFrame([(1, "x"), (2, "z")], "id long, t string")
+    judge = spark.createDataFrame([(2, "z", True), (1, "y", False)], "id long, t string, upheld boolean")
+    assert {tuple(r) for r in X.confirmed(a, b, judge, ["id", "t"]).collect()} == {(1, "x", "both"), (2, "z", "judge")}
+    r = spark.createDataFrame([(False, True, 0.96)] * 50, "same_output boolean, same_issues boolean, explanation_ratio double")
+    assert X.independence(r).first()["suspicious"] and not X.independence(r.limit(3)).first()["suspicious"]
+
+
+def test_preflight_and_pairs(spark):
+    from lexmill.operators import experiments as X
+    from lexmill.operators.grouping import compatible_pair, pair_relation
+
+    d = spark.createDataFrame([(0.95, 0.8, 3), (0.85, 0.85, 20), (0.85, 0.5, 20), (0.5, 0.9, 1), (0.95, 0.8, None)], "t double, b double, g int")
+    got = [tuple(r.x) for r in d.select(X.preflight_decision(F.col("t"), F.col("b"), F.col("g")).alias("x")).collect()]
+    assert got == [("same_event", False), ("uncertain", True), ("uncertain", False), ("different_event", False), ("same_event", False)]
+    p = spark.createDataFrame([(1.0, 0.3, 0.0, 10, True), (0.7, 0.4, 0.3, 100, False), (0.1, 0.1, 0.0, 1, False), (0.4, 0.9, 0.0, 150, False)], "t double, b double, e double, g int, q boolean")
+    got = [tuple(r.x) for r in p.select(pair_relation(F.col("t"), F.col("b"), F.col("e"), F.col("g"), F.col("q")).alias("x")).collect()]
+    assert got == [("high", True), ("none", False), ("none", False), ("high", True)]
+    limits = {"max_days": 30, "body": 0.5, "title": 0.5, "strong_body": 0.8, "keyphrases": 0.3}
+    c = spark.range(1).select(compatible_pair(F.lit(0.85), F.lit(0.1), F.lit(0.0), F.array(F.lit("x")), F.lit(3), limits).alias("a"), compatible_pair(F.lit(0.85), F.lit(0.9), F.lit(1.0), F.array(F.lit("x")), F.lit(None).cast("int"), limits).alias("b"), X.copy_share(F.lit("abcd"), F.lit("bcde")).alias("c")).first()
+    assert tuple(c) == (True, False, 0.75)
