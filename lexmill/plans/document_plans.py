@@ -32,7 +32,7 @@ def doc_normalized_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(f"""WITH {ARTICLES_SQL}, k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS f FROM a) SELECT doc_id AS duplicate_id, f AS duplicate_of FROM k WHERE doc_id <> f""")
 def doc_first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later copies of a text, each with the first."""
-    return dedup.first_occurrences(articles(spark, sf_dir), "body", "doc_id")
+    return dedup.first_occurrences(articles(spark, sf_dir).select("doc_id", F.sha2("body", 256).alias("key")), "key", "doc_id")
 
 
 @R.query(f"""WITH {ARTICLES_SQL}, k AS (SELECT *, sha256(body) AS h FROM a), r AS (SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY length(body) DESC, publish_date, CAST(doc_id AS VARCHAR)) AS survivor_id FROM k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python_text as P
 from ..functions import text as T
-from ..operators import grouping, sampling
+from ..operators import dedup, grouping
 from ..operators.dedup import shared_rare_keys
 from ..operators.graph import components
 from ..operators.tables import articles, table
@@ -38,30 +38,10 @@ def simhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("id", "simhash", *[F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("long").alias(f"band{k}") for k in range(4)])
 
 
-def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of titles that share a SimHash band, by 5-gram similarity."""
-    t = _titles(spark, sf_dir)
-    bands = simhash_bands(spark, sf_dir).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"band{k}").alias("v")) for k in range(4)])).alias("b"))
-    x = bands.withColumnRenamed("id", "a").join(bands.withColumnRenamed("id", "b2").withColumnRenamed("b", "b"), "b").filter("a < b2").select("a", F.col("b2").alias("b")).distinct()
-    side = lambda p: t.select(F.col("id").alias(p), T.char_ngram_set(T.delete_spaces(F.col("title")), 5).alias(f"g{p}"), F.length("title").alias(f"n{p}"))
-    return x.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", T.jaccard(F.col("ga"), F.col("gb"), 1.0)).select("a", "b", "na", "nb", F.round("similarity", 6).alias("similarity"))
-
-
 @R.query()
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate titles removed in order: (rejected, survivor). Components bound the pairs a task works through."""
-    import pandas as pd
-
-    pairs = _near_pairs(spark, sf_dir).filter("similarity >= 0.97")
-    found = components(pairs)
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        size = dict(zip(x.a, x.na)) | dict(zip(x.b, x.nb))
-        rows = [(i, (-size[i], str(i))) for i in sorted(size)]
-        got = grouping.survivors_in_order(rows, set(zip(x.a, x.b)))
-        return pd.DataFrame(sorted(got.items()), columns=["rejected", "survivor"], dtype="int64")
-
-    return pairs.join(found.withColumnRenamed("node", "a"), "a").groupBy("component").applyInPandas(run, "rejected long, survivor long")
+    """Rejected articles of the three stages of deduplication, over whole texts."""
+    return dedup.deduplicate(articles(spark, sf_dir))
 
 
 @R.query()

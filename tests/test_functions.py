@@ -79,6 +79,16 @@ def test_python_text():
     assert "".join(P.long_unit_parts("a" * 250)) == "a" * 250 and max(map(len, P.long_unit_parts("字" * 250))) <= 100
 
 
+def test_simhash_is_a_sum_of_signs():
+    import hashlib
+
+    for text in ("", "abc", "the quick brown fox jumps", "快速的狐狸跳过懒狗"):
+        y = P.quality_text(text)
+        hashes = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in {y[i : i + 5] for i in range(len(y) - 4)}]
+        want = sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in hashes) >= 0)
+        assert P.simhash64(text) % 2**64 == want
+
+
 def test_lcs_against_a_table():
     import random
 
@@ -128,3 +138,46 @@ def test_components(spark):
     got = dict(components(e).collect())
     assert got[4] == 1 and got[11] == 10 and 7 not in got and {got[100 + i] for i in range(41)} == {100}
     assert components(e.limit(0)).count() == 0
+
+
+def test_deduplicate_against_a_plain_loop(spark):
+    import random
+    from datetime import date
+
+    from lexmill.operators.dedup import deduplicate
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        t = base[i % 6].split()
+        for _ in range(rnd.choice([0, 0, 1, 2, 9])):
+            t[rnd.randrange(len(t))] = word()
+        text = " ".join(t)
+        rows.append((i, rnd.choice(["same title here", "quite another one"]), text if rnd.random() < 0.7 else text.replace(" ", "\n", 2), date(2024, 1, 1 + i % 20) if i % 7 else None))
+    norm = {i: P.quality_text(b) for i, _, b, _ in rows}
+    rank = {i: (-len(norm[i]), d is None, d or date.min, str(i)) for i, _, _, d in rows}
+    want, left = {}, [r[0] for r in rows]
+    body, title = {r[0]: r[2] for r in rows}, {r[0]: r[1] for r in rows}
+    for stage, key in (("exact", body), ("normalized", norm)):
+        groups = {}
+        for i in left:
+            groups.setdefault(key[i], []).append(i)
+        for g in groups.values():
+            best = min(g, key=rank.__getitem__)
+            want |= {i: (best, stage) for i in g if i != best}
+        left = [i for i in left if i not in want]
+    grams = {i: {norm[i][k : k + 5] for k in range(len(norm[i]) - 4)} for i in left}
+    bands = {i: [P.simhash64(body[i]) >> 16 * k & 0xFFFF for k in range(4)] for i in left}
+    for x, a in enumerate(left):
+        for b in left[x + 1 :]:
+            if a in want or b in want or not any(p == q for p, q in zip(bands[a], bands[b])):
+                continue
+            j = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+            if j >= 0.97 or j >= 0.92 and P.sequence_ratio(title[a], title[b]) >= 0.85:
+                keep, lose = (a, b) if rank[a] <= rank[b] else (b, a)
+                want[lose] = (keep, "near")
+    got = {r.doc_id: (r.survivor_id, r.stage) for r in deduplicate(spark.createDataFrame(rows, "doc_id long, title string, body string, publish_date date")).collect()}
+    assert {s for _, s in want.values()} == {"exact", "normalized", "near"} and got == want
+    assert deduplicate(spark.createDataFrame([], "doc_id long, title string, body string, publish_date date")).count() == 0
