@@ -66,9 +66,9 @@ def _repeat_words(words: Column) -> Column:
     return F.when(last >= 1, hashed).otherwise(F.lit(0).cast("long"))
 
 
-def _left(text: Column, pattern: str) -> Column:
-    """Characters that a class keeps."""
-    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
+def _count(text: Column, pattern: str) -> Column:
+    """Characters of a class."""
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def rule_ledger(docs: DataFrame, text_col: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
@@ -85,10 +85,10 @@ def rule_ledger(docs: DataFrame, text_col: str = "text", keep: Iterable[str] = (
         *[F.col(c) for c in keep],
         of_words.alias("_w"),
         of_lines.alias("_l"),
-        _left(text, r"[^#*$%&|<>]+").alias("n_symbols"),
-        _left(text, r"[^!]+").alias("n_exclamations"),
-        _left(text, r"[^A-ZÀ-ÖØ-Þ]+").alias("n_capitals"),
-        _left(text, r"[^A-Za-zÀ-ÖØ-öø-ÿ]+").alias("n_letters"),
+        _count(text, r"[#*$%&|<>]").alias("n_symbols"),
+        _count(text, "!").alias("n_exclamations"),
+        _count(text, "[A-ZÀ-ÖØ-Þ]").alias("n_capitals"),
+        (F.length(text).cast("long") - _count(text, "[^A-Za-zÀ-ÖØ-öø-ÿ]")).alias("n_letters"),
     ).select(*keep, "_w.*", "_l.*", "n_symbols", "n_exclamations", "n_capitals", "n_letters")
     n, c = F.col("n_words"), F.col
     fails = {
