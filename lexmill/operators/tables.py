@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Tables whose rows are texts: work on them costs far more than moving them.
+TEXTS = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is. A table of texts with fewer splits than the cluster has cores is dealt out evenly; a large one
+    has more splits than cores and is read where it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
