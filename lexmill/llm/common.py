@@ -6,19 +6,16 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.tables import table as table
 from ..sources.shared import cut as cut
 
 #: White space of the word contracts, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind an expression to a lambda variable, so that it is evaluated once a row however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
