@@ -75,7 +75,7 @@ def test_python_text():
     assert P.sequence_ratio("abcd", "bcde") == 0.75 == difflib.SequenceMatcher(None, "abcd", "bcde").ratio()
     assert P.pack_batches([4, 4, 4], 5, 8) == [[4, 4], [4]] and P.span_repeats("x" + "abcdefgh" * 3) and not P.span_repeats("abcdefgh" * 2 + "x")
     assert P.entities("“星湾” launch 星湾研究院")
-    assert P.lora_output("```\n标题：T\n\n正文：B\n```") == ("T", "B") and P.lora_output("only") is None
+    assert P.model_draft("```\n标题：T\n\n正文：B\n```") == ("T", "B") and P.model_draft("only") is None
     assert "".join(P.long_unit_parts("a" * 250)) == "a" * 250 and max(map(len, P.long_unit_parts("字" * 250))) <= 100
 
 
