@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, least_hashed
 from .shingles import chunks, text_buffer
 
 PER_LANGUAGE = 1_000
@@ -125,11 +125,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn:
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 count = max(1, -(-(hi - lo) // LENGTH))
                 out.append([bytes(data[lo + k * LENGTH : min(hi, lo + (k + 1) * LENGTH)]) for k in sorted({(count * w) // WINDOWS_EACH for w in range(WINDOWS_EACH)})])
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("hash"), b.column("doc_id"), pa.array(out, pa.list_(pa.binary()))], ["lang", "hash", "doc_id", "windows"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("rank"), pa.array(out, pa.list_(pa.binary()))], ["lang", "rank", "windows"])
 
-    cut = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "lang string, hash long, doc_id long, windows array<binary>")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    rows = cut.withColumn("rank", rank).filter(F.col("rank") <= per_language).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    picked = least_hashed(labelled.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", per_language, "lang")
+    rows = picked.mapInArrow(run, "lang string, rank int, windows array<binary>").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     names = sorted(set(rows["lang"].to_pylist()))
     x, y = [], []
     for lang, windows in zip(rows["lang"].to_pylist(), rows["windows"].to_pylist()):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, least_hashed
 from .shingles import chunks, text_buffer, words
 
 MAX_TRAIN = 12_000
@@ -150,7 +150,7 @@ class FactorMachine:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorMachine:
     """Fit on the `max_train` labelled rows of least hash that are not held out; only their features reach the driver."""
     picked = labels.filter("quality is not null and doc_id is not null").filter(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
-    picked = picked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_train)
+    picked = least_hashed(picked, "_id", max_train).drop("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -150,3 +150,16 @@ def test_stages_keep_the_columns_of_documents(spark):
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "word " * 30, None, None, None), (2, " ".join(f"w{i}" for i in range(40)), None, None, None)], DOCS)
     for name, stage in pipe.STAGES:
         assert stage(spark, odd, SF).count() <= 3, name
+
+
+def test_bounded_samples(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.llm.common import least_hashed
+
+    d = spark.range(3000).select("id", (F.col("id") % 3).alias("g"))
+    order = [r.id for r in d.orderBy(F.shiftrightunsigned(F.xxhash64("id"), 40), F.xxhash64("id"), "id").collect()]
+    assert {r.id for r in least_hashed(d, "id", 100).collect()} == set(order[:100])
+    got = least_hashed(d, "id", 50, "g").collect()
+    assert all({r.id for r in got if r.g == g} == set([i for i in order if i % 3 == g][:50]) for g in range(3))
+    assert least_hashed(d, "id", 5000).count() == 3000 and least_hashed(d.limit(0), "id", 5, "g").count() == 0
