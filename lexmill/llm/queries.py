@@ -35,6 +35,11 @@ def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.removed_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of any length from one shingle on, and repeated passages whatever lines they span."""
+    return paragraphs.removed_units(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_docs(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_paragraph_dedup": op4_paragraph_dedup,
+    "op4_passage_dedup": op4_passage_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,

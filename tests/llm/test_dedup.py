@@ -108,6 +108,26 @@ def test_paragraphs_match_brute_force(spark):
     assert paragraphs.removed_paragraphs(frame(spark, [])).count() == 0
 
 
+def test_units_do_not_depend_on_line_length(spark):
+    rnd = random.Random(11)
+    own = lambda n: [f"u{rnd.randrange(10**7)}" for _ in range(n)]
+    wrapped = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    runs = [own(50) for _ in range(40)]
+    texts, at = [], []
+    for i in range(80):
+        before = own(rnd.randrange(60))
+        at.append(len(before))
+        texts.append(wrapped([*before, *runs[i % 40], *own(rnd.randrange(60))], 1000 if i % 2 else rnd.randint(11, 15)))
+    texts += ["a short line of seven words here", "other\na short line of seven words here", "two words", "two words", None, "", wrapped(own(24), 9)]
+    got = paragraphs.removed_units(frame(spark, texts).repartition(3)).collect()
+    lines = {(r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in got if r.kind == "line"}
+    assert (81, 1, 80, 0) in lines and not any(r.doc_id in (82, 83, 84, 85, 86) for r in got)
+    inside = {r.doc_id for r in got if r.kind == "passage" and r.kept_doc_id == r.doc_id - 40 and at[r.doc_id] <= r.start <= at[r.doc_id] + 25}
+    assert inside == set(range(40, 80))
+    assert paragraphs.removed_units(frame(spark, ["of " * 40, "of " * 90])).filter("doc_id = kept_doc_id and start - kept_start < 25").count() == 0
+    assert paragraphs.removed_units(frame(spark, [])).count() == 0
+
+
 def brute_bytes(rows):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda r: r[0]):
