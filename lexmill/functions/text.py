@@ -52,7 +52,7 @@ def join_evidence(paragraphs: Column) -> Column:
 
 def paragraphs(x: Column) -> Column:
     """Trimmed lines that are not blank."""
-    return F.filter(F.transform(F.split(x, "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, "\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def title(x: Column, width: int = 80) -> Column:

@@ -100,6 +100,15 @@ def fact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.explode(facts).alias("x")).select("doc_id", "x.*")
 
 
+@R.query(f"""WITH {ARTICLES_SQL}, p AS (SELECT doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM a), f AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)
+SELECT doc_id, printf('F%02d', CAST(i AS INTEGER)) AS fact_id, sha256(ps[i]) AS evidence_sha256, CASE WHEN i < len(ps) THEN sha256(ps[i + 1]) END AS next_sha256 FROM f""")
+def fact_evidence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fact of each article with its evidence paragraph, by position in the row."""
+    p = articles(spark, sf_dir).select("doc_id", T.paragraphs(F.col("body")).alias("ps"))
+    facts = F.transform("ps", lambda x, i: F.struct(F.format_string("F%02d", i + 1).alias("fact_id"), F.sha2(x, 256).alias("evidence_sha256"), F.sha2(F.get("ps", i + 1), 256).alias("next_sha256")))
+    return p.select("doc_id", F.explode(facts).alias("x")).select("doc_id", "x.*")
+
+
 @R.query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN 'soon' ELSE ' ' END AS raw, CAST(ts AS DATE) AS d FROM events) SELECT event_id, CASE WHEN event_id % 4 < 2 THEN d END AS publish_date, event_id % 4 >= 2 AS warned FROM r""")
 def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates from ISO dates and timestamps; anything else is null with a warning."""

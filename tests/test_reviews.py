@@ -1,5 +1,6 @@
 """Facts, schemas, workflow and contracts against hand-made cases."""
 
+import hashlib
 import json
 
 import pytest
@@ -186,3 +187,14 @@ def test_preflight_and_pairs(spark):
     limits = {"max_days": 30, "body": 0.5, "title": 0.5, "strong_body": 0.8, "keyphrases": 0.3}
     c = spark.range(1).select(compatible_pair(F.lit(0.85), F.lit(0.1), F.lit(0.0), F.array(F.lit("x")), F.lit(3), limits).alias("a"), compatible_pair(F.lit(0.85), F.lit(0.9), F.lit(1.0), F.array(F.lit("x")), F.lit(None).cast("int"), limits).alias("b"), X.copy_share(F.lit("abcd"), F.lit("bcde")).alias("c")).first()
     assert tuple(c) == (True, False, 0.75)
+
+
+def test_every_paragraph_is_evidence(spark, tmp_path):
+    from lexmill.plans import catalogue
+
+    texts = [(1, "\n".join(f"p{i}" for i in range(120)), "en", "s"), (2, "a\n\n b ", "en", "s"), (3, None, "en", "s"), (4, "", "en", "s")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.fact_id): (r.evidence_sha256, r.next_sha256) for r in catalogue.QUERIES["fact_evidence_all"](spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {(1, f"F{i + 1:02d}"): (sha(f"p{i}"), sha(f"p{i + 1}") if i < 119 else None) for i in range(120)} | {(2, "F01"): (sha("a"), sha("b")), (2, "F02"): (sha("b"), None)}
+    assert got == want
