@@ -80,6 +80,20 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
 
 def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group of near-duplicates, its least doc_id; rows without words all stay."""
-    kept = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    """docs with one row of each group of near-duplicates, its least doc_id; rows without words all stay.
+
+    A row with a null doc_id goes by a number made from its text, over all ids up to 2**62, so it links like any other
+    and stays only where its group has no id. Of several rows of the id that stays, the one of least text digest does.
+    """
+    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), made)))
+    found = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), size, percent)
+    kept = cut(found.filter("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_k")).agg(F.count("*").alias("_n")))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stay = named.filter(worded).join(kept.filter("_n = 1").select("_k"), F.col("_id") == F.col("_k"), "left_semi")
+    out = stay.unionByName(named.filter(~worded))
+    several = kept.filter("_n > 1")
+    if not several.isEmpty():
+        rows = named.filter(worded).join(several.select("_k"), F.col("_id") == F.col("_k"), "left_semi")
+        out = out.unionByName(rows.groupBy("_id").agg(F.min_by(F.struct(*docs.columns), F.sha2("text", 256)).alias("_r")).select("_id", "_r.*"))
+    return out.select(*docs.columns)

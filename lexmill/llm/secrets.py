@@ -61,18 +61,18 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bytes]]:
 
 
 def scan(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """doc_id, owner, repo and the candidates of each row; one pass over the texts, no shuffle."""
+    """doc_id, a digest of the text, owner, repo and the candidates of each row; one pass over the texts, no shuffle."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [[dict(zip(("start", "kind", "end", "value"), x)) for x in candidates(t)] for t in b["text"]]
-            yield pd.DataFrame({"row_id": b["row_id"], "doc_id": b["doc_id"], "owner": b["owner"], "repo": b["repo"], "found": found})
+            yield pd.DataFrame({"row_id": b["row_id"], "doc_id": b["doc_id"], "text_key": b["text_key"], "owner": b["owner"], "repo": b["repo"], "found": found})
 
     marked = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"),
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.unhex(F.sha2("text", 256)).alias("text_key"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"),
         F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in repo_cols]).alias("repo"), "text",
     )
-    return marked.mapInPandas(spans, f"row_id long, doc_id {dict(docs.dtypes)['doc_id']}, owner string, repo string, found {SPAN}")
+    return marked.mapInPandas(spans, f"row_id long, doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, owner string, repo string, found {SPAN}")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -83,13 +83,13 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id and its reported spans (start, kind, end, n_repos, n_owners, specific), one row a row of docs."""
+    """doc_id, text_key and the reported spans (start, kind, end, n_repos, n_owners, specific), one row a row of docs."""
     scanned = cut(scan(docs))
     own = ownership(scanned)
     one = scanned.select("row_id", F.explode("found").alias("s")).select("row_id", "s.*")
     verdict = one.join(own, "value").withColumn("specific", F.col("n_owners") <= max_owners).filter((F.col("kind") < 3) | F.col("specific"))
     spans = verdict.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_repos", "n_owners", "specific"))).alias("spans"))
-    return scanned.select("row_id", "doc_id").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,n_repos:bigint,n_owners:bigint,specific:boolean>>")))
+    return scanned.select("row_id", "doc_id", "text_key").join(spans, "row_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,n_repos:bigint,n_owners:bigint,specific:boolean>>")))
 
 
 def report(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -116,9 +116,13 @@ def masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with every reported span of the text replaced by a mark; all columns pass, n_chars follows the text."""
-    hit = classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans")).dropDuplicates(["_d"])
-    both = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    """docs with every reported span of the text replaced by a mark; all columns pass, n_chars follows the text.
+
+    Spans follow from a text and the verdicts on its values, so rows find theirs by doc_id and text: rows with a null
+    doc_id, or of one doc_id with different texts, are masked each at its own places.
+    """
+    hit = classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans")).dropDuplicates(["_d", "_t"])
+    both = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.unhex(F.sha2("text", 256)) == F.col("_t")), "left").drop("_d", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -82,6 +82,15 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_dup.first_of_each(df).columns == df.columns
 
 
+def test_first_of_each_decides_by_row(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:k], "edited", *base[k + 1 :]])
+    other, lone = " ".join(f"v{i}" for i in range(40)), " ".join(f"z{i}" for i in range(40))
+    rows = [(5, " ".join(base)), (5, " ".join(base)), (6, near(58)), (None, " ".join(base)), (None, near(59)), (None, other), (None, other), (None, lone), (None, None), (None, ""), (8, " "), (8, lone + " end")]
+    got = near_dup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("5", " ".join(base)), ("None", other), ("None", "None"), ("None", ""), ("8", " "), ("8", lone + " end")])
+
+
 def test_first_of_each_keeps_clean_documents(spark):
     df = frame(spark, [f"alpha{i} beta gamma delta{i} epsilon zeta" for i in range(5)] + [None, ""])
     assert near_dup.first_of_each(df).count() == 7

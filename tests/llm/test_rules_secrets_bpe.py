@@ -96,6 +96,13 @@ def test_redaction_takes_effect_and_keeps_rows(spark):
     assert secrets.redact(df).columns == df.columns
 
 
+def test_redaction_by_row_where_ids_are_null_or_repeated(spark):
+    a, b, clean = "x password=0123456789abcdef y", "a longer start, then password=fedcba9876543210 z", "clean text without any secret in it at all"
+    rows = [(i, t, "en", "s", len(t)) for i in (None, 7) for t in (a, b, clean, a)]
+    got = sorted((str(r.doc_id), r.text) for r in secrets.redact(spark.createDataFrame(rows, DOCS).repartition(3)).collect())
+    assert got == sorted((str(i), t) for i in (None, 7) for t in ("x [SECRET] y", "a longer start, then [SECRET] z", clean, "x [SECRET] y"))
+
+
 @pytest.fixture(scope="module")
 def own():
     return bpe.WordBpe(bpe.read_spec(queries.tokenizer_path()))
