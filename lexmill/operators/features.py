@@ -23,13 +23,19 @@ def tfidf(docs: DataFrame, id_col: str, terms: Column, min_df: int, max_df_ratio
 
 
 def cosine_pairs(vectors: DataFrame, id_col: str, least: float) -> DataFrame:
-    """(a, b, cosine) of sparse normalized vectors that share a term, at or over a bound.
+    """(a, b, cosine) of sparse normalized vectors that share a term, at or over a bound above 0, exactly.
 
-    The inner product is summed per pair with map-side combination. A term's postings are joined with themselves; the
-    caller bounds document frequency when it builds the vectors.
+    Prefix filter: with terms ordered from rare to common, the first term that two vectors share lies where the rest of
+    either vector, from that term on, is at least as long as the bound. Only such terms are joined; inner products are
+    summed over the whole vectors of the pairs that meet.
     """
-    a, b = vectors.toDF("a", "term", "wa"), vectors.toDF("b", "term", "wb")
-    return a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("c")).filter(F.round("c", 6) >= least).select("a", "b", F.round("c", 6).alias("cosine"))
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col).orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    pre = vectors.join(df, "term").withColumn("rest", rest).filter(F.col("rest") >= (least - 1e-6) ** 2 - 1e-9).select(id_col, "term")
+    pairs = pre.toDF("a", "term").join(pre.toDF("b", "term"), "term").filter("a < b").select("a", "b").distinct()
+    v = vectors.select(id_col, "term", "weight")
+    both = pairs.join(v.toDF("a", "term", "wa"), "a").join(v.toDF("b", "term", "wb"), ["b", "term"])
+    return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("c")).filter(F.round("c", 6) >= least).select("a", "b", F.round("c", 6).alias("cosine"))
 
 
 def naive_bayes(examples: DataFrame, id_col: str, label_col: str, features: Column) -> DataFrame:

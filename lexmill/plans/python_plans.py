@@ -33,11 +33,30 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def simhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of each title with its four 16-bit bands, low to high."""
-    h = _titles(spark, sf_dir).select("id", P.arrow(lambda x: P.simhash64(x), "long")("title").alias("simhash"))
+    """SimHash of each article's whole body with its four 16-bit bands, low to high."""
+    h = articles(spark, sf_dir).select(F.col("doc_id").alias("id"), P.arrow(lambda x: P.simhash64(x), "long")("body").alias("simhash"))
     return h.select("id", "simhash", *[F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("long").alias(f"band{k}") for k in range(4)])
 
 
+@R.query()
+def doc_body_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles whose whole bodies' 5-gram sets are 0.9 alike, and the exact copies of each body."""
+    return dedup.body_pairs(articles(spark, sf_dir), 90)
+
+
+@R.query()
+def doc_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles whose title vectors have a cosine of 0.9, and the copies b of each title with their first row a."""
+    from ..operators import features
+    from .document_plans import _title_vectors
+
+    a = articles(spark, sf_dir).select("doc_id", "title")
+    first = a.groupBy("title").agg(F.min("doc_id").alias("a"))
+    copies = a.join(first, "title").filter("doc_id <> a and title <> ''").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("cosine"), F.lit("exact").alias("kind"))
+    v = _title_vectors(spark, sf_dir).join(first.select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
+    return copies.unionByName(features.cosine_pairs(v, "doc_id", 0.9).withColumn("kind", F.lit("near")))
+
+
 @R.query()
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected articles of the three stages of deduplication, over whole texts."""

@@ -1,0 +1,55 @@
+"""Queries over whole bodies against plain Python."""
+
+import random
+
+import numpy as np
+
+from lexmill.functions import python_text as P
+from lexmill.operators import features
+from lexmill.plans import catalogue
+
+
+def grams(x):
+    y = P.quality_text(x)
+    return {y[i : i + 5] for i in range(len(y) - 4)} if len(y) > 5 else {y} if y else set()
+
+
+def written(spark, path, texts):
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_body_pairs_and_simhash_see_whole_bodies(spark, tmp_path):
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(80)]
+    texts = []
+    for i in range(30):
+        t = list(base)
+        for _ in range(i % 7):
+            t[rnd.randrange(80)] = f"x{i}"
+        texts.append(f"Same title\n{' '.join(t)}" if i % 2 else f"Title {i}\n{' '.join(t)}")
+    texts += [texts[1], texts[1], "abc", "abc", "", None]
+    sf = written(spark, tmp_path, texts)
+    sets, norm = [grams(t) for t in texts], [P.quality_text(t or "") for t in texts]
+    first = [norm.index(n) for n in norm]
+    want = {(first[i], i, 1.0, "exact") for i in range(len(texts)) if first[i] != i}
+    for a in sorted(set(first)):
+        for b in sorted(set(first)):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                want.add((a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6), "near"))
+    assert {tuple(r) for r in catalogue.QUERIES["doc_body_jaccard_pairs"](spark, sf).collect()} == want
+    assert {k for *_, k in want} == {"exact", "near"}
+    assert {r.id: r.simhash for r in catalogue.QUERIES["simhash_bands"](spark, sf).collect()} == {i: P.simhash64(t or "") for i, t in enumerate(texts)}
+
+
+def test_cosine_pairs_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = rng.random((6, 40)) * (rng.random((6, 40)) < 0.4)
+    m = np.array([base[i % 6] + rng.random(40) * (rng.random(40) < 0.1) * (i % 5) * 0.3 for i in range(60)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, f"t{k}", float(m[i, k])) for i in range(60) for k in range(40) if m[i, k]], "doc_id long, term string, weight double")
+    c = m @ m.T
+    for least in (0.9, 0.5):
+        got = {(r.a, r.b): r.cosine for r in features.cosine_pairs(v, "doc_id", least).collect()}
+        assert got.keys() == {(a, b) for a in range(60) for b in range(a + 1, 60) if round(c[a, b], 6) >= least}
+        assert all(abs(got[a, b] - c[a, b]) < 2e-6 for a, b in got)
