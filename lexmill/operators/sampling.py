@@ -29,15 +29,15 @@ def quota_sample(rows: DataFrame, key: str, seed: str, strata: list[tuple[str, C
     return out
 
 
-def rate_sample(rows: DataFrame, key: str, seed: str, percent: int) -> DataFrame:
-    """ceil(percent of the rows) rows of least hash: a rank over the whole table, in two steps.
+def rate_sample(rows: DataFrame, key: str, seed: str, percent: int, times: int = 1) -> DataFrame:
+    """`times` ceil(percent of the rows) rows of least hash: a rank over the whole table, in two steps.
 
     Rows are counted by a prefix of their hash; the prefixes that lie fully under the bound are taken as they are, and
     only the one prefix that holds the bound is ranked.
     """
     h = rows.withColumn("_h", sha_rank(seed, "|", F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
     counts = h.groupBy("_b").agg(F.count("*").alias("_c"))
-    k = F.ceil(F.sum("_c").over(Window.partitionBy()) * percent / 100)
+    k = F.ceil(F.sum("_c").over(Window.partitionBy()) * percent / 100) * times
     upto = F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_b"))
     bounds = F.broadcast(counts.select("_b", (k - (upto - F.col("_c"))).alias("_left"), "_c").filter("_left > 0"))  # 4096 rows at most
     whole = h.join(bounds, "_b")
@@ -46,6 +46,26 @@ def rate_sample(rows: DataFrame, key: str, seed: str, percent: int) -> DataFrame
     return whole.filter("_left >= _c").select(*rows.columns).unionByName(part.select(*rows.columns))
 
 
+def escalation(rows: DataFrame, key: str, seed: str, percent: int, rate: float) -> DataFrame:
+    """(key, round) of an audit of rows (key, stratum, hard, blocking) that widens while it finds hard rows.
+
+    Round 1 is a percentage of the rows; round 2 as many others, if over `rate` of round 1 is hard or any of it blocks;
+    round 3 all remaining rows of the strata that hold a hard row of round 2, if over `rate` of round 2 is hard.
+    """
+    first = rate_sample(rows, key, seed, percent)
+    go = first.agg(F.avg(F.col("hard").cast("int")).alias("r"), F.max("blocking").alias("b")).filter((F.col("r") > rate) | F.col("b")).select()
+    second = rate_sample(rows, key, seed, percent, 2).join(first.select(key), key, "left_anti").join(F.broadcast(go))
+    bad = second.filter("hard").select("stratum").distinct()
+    more = F.broadcast(second.agg(F.avg(F.col("hard").cast("int")).alias("r")).filter(F.col("r") > rate).select())
+    seen = first.select(key).unionByName(second.select(key))
+    third = rows.join(seen, key, "left_anti").join(bad, "stratum", "left_semi").join(more)
+    out = None
+    for n, part in enumerate((first, second, third), 1):
+        part = part.select(key, F.lit(n).alias("round"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def rotation(rows: DataFrame, key: str, labels: tuple[str, ...]) -> DataFrame:
     """(key, condition, label): blind labels rotated by a hash of the key, balanced in expectation and free of order."""
     n = len(labels)

@@ -60,6 +60,17 @@ def adaptive_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).select("user_id", "round")
 
 
+@R.query(f"""WITH {_ISSUES}, s AS (SELECT user_id, bool_or(severity <> 'minor') AS hard, bool_or(severity = 'blocking') AS blocking, CASE WHEN count(*) >= 10 THEN 'long' WHEN count(DISTINCT issue_type) >= 3 THEN 'several' ELSE 'ordinary' END AS stratum FROM i GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (ORDER BY sha256('esc|' || user_id), user_id) AS k, ceil(count(*) OVER () * 5 / 100) AS m FROM s), a AS (SELECT avg(hard::INT) > 0.02 OR bool_or(blocking) AS go FROM r WHERE k <= m),
+b AS (SELECT r.* FROM r, a WHERE go AND k > m AND k <= 2 * m), c AS (SELECT avg(hard::INT) > 0.02 AS go FROM b)
+SELECT user_id, 1 AS round FROM r WHERE k <= m UNION ALL SELECT user_id, 2 FROM b UNION ALL SELECT user_id, 3 FROM r, c WHERE go AND k > 2 * m AND stratum IN (SELECT stratum FROM b WHERE hard)""")
+def adaptive_escalation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three rounds of the adaptive audit; users are stratified by how many issues and types of issue they have."""
+    n = F.when(F.count("*") >= 10, "long").when(F.count_distinct("issue_type") >= 3, "several").otherwise("ordinary")
+    s = _issues(spark, sf_dir).groupBy("user_id").agg(F.max(F.col("severity") != "minor").alias("hard"), F.max(F.col("severity") == "blocking").alias("blocking"), n.alias("stratum"))
+    return sampling.escalation(s, "user_id", "esc", 5, 0.02)
+
+
 @R.query("""WITH g AS (SELECT source AS grp, doc_id, length(text) AS n, CAST(substring(sha256('split|' || doc_id), 1, 1) IN ('0', '1') AS INT) AS side FROM documents), e AS (SELECT doc_id, grp, n % 97 AS body, n % 89 AS title FROM g)
 SELECT doc_id, grp AS group_id FROM (SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id % 200 ORDER BY body DESC, title DESC, grp, doc_id) AS rn FROM e) WHERE rn = 1""")
 def best_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,3 +198,17 @@ def test_every_paragraph_is_evidence(spark, tmp_path):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = {(1, f"F{i + 1:02d}"): (sha(f"p{i}"), sha(f"p{i + 1}") if i < 119 else None) for i in range(120)} | {(2, "F01"): (sha("a"), sha("b")), (2, "F02"): (sha("b"), None)}
     assert got == want
+
+
+def test_escalation_has_three_rounds(spark):
+    def rounds(hard, blocking):
+        order = sorted(range(390), key=lambda i: hashlib.sha256(f"x|{i}".encode()).hexdigest())
+        rows = [(i, f"s{k % 3}", k in hard, k in blocking) for k, i in enumerate(order)]
+        got = sampling.escalation(spark.createDataFrame(rows, "id long, stratum string, hard boolean, blocking boolean"), "id", "x", 5, 0.02).collect()
+        return sorted((order.index(r.id), r.round) for r in got)
+
+    first, second = [(k, 1) for k in range(20)], [(k, 2) for k in range(20, 40)]
+    assert rounds(set(), set()) == first
+    assert rounds({3}, set()) == first + second
+    assert rounds(set(), {3}) == first + second
+    assert rounds({3, 21, 24}, set()) == first + second + [(k, 3) for k in range(40, 390) if k % 3 == 0]
