@@ -11,6 +11,7 @@ from ..operators import dedup, grouping
 from ..operators.dedup import shared_rare_keys
 from ..operators.graph import components
 from ..operators.tables import articles, table
+from ..sources.shared import cut
 from .other_plans import _pairs
 from .registry import Registry
 
@@ -63,13 +64,18 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(articles(spark, sf_dir))
 
 
+@R.query()
+def doc_event_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of one event among all articles, by year and rare title trigrams or equal titles, with the decision."""
+    a = articles(spark, sf_dir).select(F.col("doc_id").alias("id"), "title", "body", "publish_date")
+    return grouping.event_candidates(a, cap=6, least=0.3, max_days=90, exact_days=180)
+
+
 @R.query()
 def event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete-link groups of candidate pairs with alike titles, at most 12 articles a group."""
-    t = _titles(spark, sf_dir)
-    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("id", F.lit(365)).cast("int"))
-    c = grouping.candidate_pairs(t.select("id", "title", day.alias("publish_date"), F.month(day).alias("period")), cap=6, least=0.3, max_days=90)
-    edges = c.select("a", "b", F.col("title_similarity").alias("body"), F.col("title_similarity").alias("title"), "pair_id")
+    """Complete-link groups of the candidate pairs that are the same event, at most 12 articles a group."""
+    c = doc_event_candidates(spark, sf_dir).filter("same_event")
+    edges = cut(c.select("a", "b", F.col("body_similarity").alias("body"), F.col("title_similarity").alias("title"), "pair_id"))
     return grouping.event_groups(edges, components(edges), cap=12)
 
 
