@@ -1,55 +1,49 @@
-"""The LSH forest: exact components of near-equal sets, without all pairs of any group.
+"""The LSH forest: sorted orders of MinHash signatures and their neighbours by longest common prefix.
 
-A forest of several sorted signature orders: each order sorts the nodes by its own run of MinHash values, and nodes
-that share a prefix of `depth` values are a region of neighbours. Links within one component tell nothing new, so two
-rounds look only at what is still apart, and their cost follows the number of rows, not of pairs:
+Each of the trees is one sorted order: nodes sorted by that tree's own run of `LONGEST` MinHash values. A tree is never
+built; it is read off the order, as nodes that share a prefix stand side by side. All orders lie in one table that is
+dealt out over ranges of (tree, values, node), so a prefix that very many nodes share spreads over many tasks, and each
+task reads its range as a sorted stream and holds one pending row. Ends of ranges (two rows a range) meet in a second,
+small stream.
 
-1. every node against the least few of the nodes that lead its regions;
-2. in regions that then hold several components, members outside the leader's component against members of other
-   components: all such pairs in small regions; in larger ones the depth adapts: members are dealt into blocks, and
-   blocks of outsiders meet blocks of members inside a task, which compares signatures, then full sets.
+1. A node's candidates are the `NEAREST` of its neighbours in all orders with the longest common prefix, of `LEAST`
+   values or more.
+2. Nodes that share a prefix of `LEAST` values are a region. In regions that still hold several components the depth
+   adapts (`linking.settle`): a region of up to `SMALL` members is compared at that depth, a larger one is cut by
+   ever longer prefixes until its parts are small; parts that stay crowded at the longest prefix meet in blocks.
 
-Each round confirms its links on the full sets: 100 * intersection >= percent * union. A pair at the bound shares no
-region with a chance of (1 - (percent / 100)**depth)**trees; the signature filter before the exact check lies five
-standard deviations under the bound.
-
-Full sets are read again from the texts only for nodes that a near pair names. Which these are is sent to the workers
-as a bit filter of fixed size, so nothing sent grows with the data: where the filter fills up, more sets are made and
-dropped again by the exact join that follows.
+Two sets at the bound p share no region of depth d in any of t trees with a chance of (1 - p**d)**t.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
 from .common import cut, mix64
-from .shingles import signatures
+from .linking import Linker
+from .shingles import functions, signatures
 
-#: Members up to which a region compares pairs in a join; members of a block beyond that.
-SMALL, BLOCK = 48, 1024
-#: Leaders that a node meets in the first round; the second round makes up for the others.
-LEADERS = 3
-#: Words of 64 bits of the filter.
-FILTER_WORDS = 1 << 19
+#: Values of the least prefix of neighbours and of the longest, which fill one and two 64-bit numbers.
+LEAST, LONGEST = 4, 8
+#: Neighbours of a node that the first round compares; the second makes up for the others.
+NEAREST = 3
+_ORDER = ["tree", "hi", "lo", "node"]
+_SCHEMA = "tree int, hi long, lo long, node long, n int, before long, before_n int, shared int, edge int"
 
 
-def set_key(s: np.ndarray) -> bytes | None:
-    """A 128-bit key of a set of 64-bit hashes; null for the empty set."""
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+def short_values(sets: list[np.ndarray], muls: np.ndarray) -> np.ndarray:
+    """(rows, functions): 16 mixed bits of each MinHash value."""
+    return (mix64(signatures(sets, muls).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketches(sets: list[np.ndarray], muls: np.ndarray) -> list[bytes | None]:
-    """Signatures as bytes: 16 mixed bits of each MinHash value."""
-    low = (mix64(signatures(sets, muls).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
-    return [x.tobytes() if len(s) else None for x, s in zip(low, sets)]
+    """Signatures as bytes; null for an empty set."""
+    return [x.tobytes() if len(s) else None for x, s in zip(short_values(sets, muls), sets)]
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -57,108 +51,86 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), -1)
 
 
-def region_keys(sig: np.ndarray) -> np.ndarray:
-    """(rows, trees): a key of each tree's prefix of signatures of shape (rows, trees, depth)."""
-    rows, trees, depth = sig.shape
-    key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03), (rows, trees))
-    for d in range(depth):
-        key = mix64(key ^ sig[:, :, d].astype(np.uint64))
-    return key
+def labels(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of signatures (rows, trees, LONGEST): the first and the second half of each tree's values as numbers that sort like them."""
+    wide = sig.astype(np.uint64)
+    pack = lambda x: (x[..., 0] << np.uint64(48)) | (x[..., 1] << np.uint64(32)) | (x[..., 2] << np.uint64(16)) | x[..., 3]
+    return pack(wide[..., :LEAST]).view(np.int64), pack(wide[..., LEAST:]).view(np.int64)
+
+
+def _equal_values(x: np.ndarray) -> np.ndarray:
+    """Leading 16-bit values that two numbers share, of their exclusive or."""
+    x = x.view(np.uint64)
+    return sum((x >> np.uint64(s) == 0).astype(np.int32) for s in (48, 32, 16, 0))
 
 
-def common_count(u: np.ndarray, v: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(u) > len(v):
-        u, v = v, u
-    return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(v) else 0
+def shared_prefix(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Values that each row shares with the row before it; 0 for the first row and across trees."""
+    out = np.zeros(len(tree), np.int32)
+    a = _equal_values(hi[1:] ^ hi[:-1])
+    out[1:] = np.where(tree[1:] == tree[:-1], np.where(a == LEAST, LEAST + _equal_values(lo[1:] ^ lo[:-1]), a), 0)
+    return out
 
 
-def regions_of(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(region, node, n): the regions of each node, one a tree."""
+def orders(nodes: DataFrame, trees: int) -> DataFrame:
+    """(tree, hi, lo, node, n): every node in every tree's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            key = region_keys(_rows(b.column("sig")).reshape(b.num_rows, trees, depth))
+            hi, lo = labels(_rows(b.column("sig")).reshape(b.num_rows, trees, LONGEST))
             at = pa.array(np.repeat(np.arange(b.num_rows), trees))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column("node").take(at), b.column("n").cast(pa.int32()).take(at)], ["region", "node", "n"])
+            tree = pa.array(np.tile(np.arange(trees, dtype=np.int32), b.num_rows))
+            yield pa.RecordBatch.from_arrays([tree, pa.array(hi.ravel()), pa.array(lo.ravel()), b.column("node").take(at), b.column("n").cast(pa.int32()).take(at)], [*_ORDER, "n"])
 
-    return nodes.select("node", "n", "sig").mapInArrow(run, "region long, node long, n int")
+    return nodes.select("node", "n", "sig").mapInArrow(run, "tree int, hi long, lo long, node long, n int")
 
 
-def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, node, n, least, nl): members of regions of two or more, with the least node and its size.
-
-    One exchange; each task reads its regions as a sorted stream and holds one pending row. The largest region is a
-    `trees`-th of the rows at most, as a node is in a region once a tree.
-    """
+def _neighbours(ordered: DataFrame) -> DataFrame:
+    """Rows that share LEAST values or more with the row before or after them, with the row before and the length of
+    the prefix shared with it. The first and the last row of a range are passed on in any case (edge 1 and 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # region, least, its size, whether its own row is still to be emitted
+        held: tuple | None = None  # the last row, as arrays of one: tree, hi, lo, node, n, before, before_n, shared, edge
+        names = [c.split()[0] for c in _SCHEMA.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        batch = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
         for b in batches:
-            region, node, n = (b.column(c).to_numpy() for c in ("region", "node", "n"))
-            if not len(region):
+            if not b.num_rows:
                 continue
-            new = np.ones(len(region), bool)
-            new[1:] = region[1:] != region[:-1]
-            goes_on = last is not None and last[0] == region[0]
-            at = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            least, nl = node[at].copy(), n[at].copy()
-            shown = np.bincount(group) > 1
-            extra = None
-            if goes_on:
-                least[0], nl[0], shown[0] = last[1], last[2], True
-                extra = last if last[3] else None
-            hit = np.flatnonzero(shown[group])
-            cols = [region[hit], node[hit], n[hit], least[group[hit]], nl[group[hit]]]
-            if extra:
-                cols = [np.append(c, x) for c, x in zip(cols, (extra[0], extra[1], extra[2], extra[1], extra[2]))]
-            last = (region[-1], least[-1], nl[-1], not shown[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["region", "node", "n", "least", "nl"])
-
-    return rows.repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, "region long, node long, n int, least long, nl int")
-
-
-def bit_filter(wanted: DataFrame) -> np.ndarray:
-    """Bits of the wanted nodes, FILTER_WORDS words at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            word, bit = _bit_of(b.column("node").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["w", "b"])
-
-    words = wanted.select("node").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(FILTER_WORDS, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _bit_of(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix64(nodes.astype(np.int64).view(np.uint64))
-    return ((h >> np.uint64(6)) % np.uint64(FILTER_WORDS)).astype(np.int64), h & np.uint64(63)
-
-
-def may_hold(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """False only for nodes that are not in a filter made by `bit_filter`."""
-    word, bit = _bit_of(nodes)
-    return (bits[word] >> bit) & np.uint64(1) > 0
-
-
-class Linker:
-    """Links and components of nodes (node, n, sig), with the bound and the forest's shape."""
-
-    def __init__(self, nodes: DataFrame, read_sets: Callable[[DataFrame], DataFrame], percent: int, trees: int, depth: int):
-        self.nodes, self.read_sets, self.percent, self.trees, self.depth = nodes, read_sets, percent, trees, depth
+            row = [b.column(c).to_numpy() for c in (*_ORDER, "n")]
+            start = 0 if held is None else 1
+            if start:
+                row = [np.concatenate([h, x]) for h, x in zip(held, row)]
+            tree, hi, lo, node, n = row
+            before, before_n = np.concatenate([node[:1], node[:-1]]), np.concatenate([n[:1], n[:-1]])
+            shared, edge = shared_prefix(tree, hi, lo), np.zeros(len(node), np.int32)
+            if start:
+                before[0], before_n[0], shared[0], edge[0] = (x[0] for x in held[5:])
+            else:
+                edge[0] = 1
+            show = (shared >= LEAST) | (edge > 0)
+            show[:-1] |= shared[1:] >= LEAST
+            cols = (tree, hi, lo, node, n, before, before_n, shared, edge)
+            held = tuple(c[-1:] for c in cols)
+            yield batch([c[:-1][show[:-1]] for c in cols])
+        if held is not None:
+            held[-1][0] |= 2
+            yield batch(held)
+
+    return ordered.mapInArrow(run, _SCHEMA)
+
+
+class Forest:
+    """The forest of nodes (node, n, sig): sig holds trees * LONGEST values as `sketches` makes them with `functions`."""
+
+    def __init__(self, nodes: DataFrame, read_sets: Callable[[DataFrame], DataFrame], percent: int, trees: int):
+        self.nodes, self.trees = nodes, trees
         p = percent / 100
-        self.least_equal = p - 5 * (p * (1 - p) / (trees * depth)) ** 0.5
-        self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def fits(self, a: str, b: str) -> str:
-        """Sizes that allow a link."""
-        return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
+        #: Share of equal values from which a pair is confirmed on its sets: five standard deviations under the bound.
+        self.least_equal = p - 5 * (p * (1 - p) / (trees * LONGEST)) ** 0.5
+        self.linker = Linker(percent, read_sets=read_sets, screen=self.alike)
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose signatures agree enough."""
@@ -174,104 +146,24 @@ class Linker:
 
         return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the pairs whose full sets hold the bound to the links."""
-        percent = self.percent
-        self.load(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        both = pairs.join(self.sets.withColumnsRenamed({"node": "a", "hashes": "ha"}), "a").join(self.sets.withColumnsRenamed({"node": "b", "hashes": "hb"}), "b")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                keep = []
-                for ha, hb in zip(x.column("ha"), x.column("hb")):
-                    u, v = (np.frombuffer(h.as_buffer(), np.uint64) for h in (ha, hb))
-                    common = common_count(u, v)
-                    keep.append(100 * common >= percent * (len(u) + len(v) - common))
-                yield x.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-        found = cut(both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
-        self.links = found if self.links is None else self.links.unionByName(found)
-
-    def load(self, wanted: DataFrame) -> None:
-        """Read the full sets of nodes that are not there yet."""
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = cut(wanted)
-        new = cut(self.read_sets(wanted).join(wanted, "node", "left_semi"))
-        self.sets = new if self.sets is None else self.sets.unionByName(new)
-
-    def placed(self, members: DataFrame, found: DataFrame) -> DataFrame:
-        """Members of regions that still hold several components, with their component and that of the leader (cl)."""
-        own = members.join(found, "node", "left").select("region", "node", "n", "least", "nl", F.coalesce("component", "node").alias("comp"))
-        state = own.groupBy("region").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m"), F.min(F.struct("node", "comp")).alias("x")).filter("c1 <> c2").select("region", "m", F.col("x.comp").alias("cl"))
-        return cut(own.join(state, "region").withColumn("outside", F.expr("comp <> cl")))
+    def neighbours(self) -> tuple[DataFrame, DataFrame]:
+        """(rows of regions, pairs (a, b, shared) of rows that stand side by side)."""
+        dealt = orders(self.nodes, self.trees).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+        near = cut(_neighbours(dealt))
+        # two rows a range at most: what stands at the end of one and the start of the next
+        ends = near.filter("edge > 0").select(*_ORDER, "n").repartition(1).sortWithinPartitions(*_ORDER)
+        close = near.unionByName(_neighbours(ends)).filter(f"shared >= {LEAST} and {self.linker.fits('n', 'before_n')}")
+        return near, close.select(F.col("before").alias("a"), F.col("node").alias("b"), "shared")
 
     def run(self) -> DataFrame:
         """(node, component) of the nodes that have a link; component is the smallest node that can be reached."""
-        members = cut(shared_regions(regions_of(self.nodes, self.trees, self.depth)))
-        led = members.filter(f"node <> least and {self.fits('n', 'nl')}").groupBy(F.col("node").alias("b")).agg(F.array_sort(F.collect_set("least")).alias("l"))
-        tried = cut(self.alike(led.select("b", F.explode(F.slice("l", 1, LEADERS)).alias("a")).select("a", "b")))
-        self.confirm(tried)
-        found = cut(components(self.links))
-        mixed = self.placed(members, found)
-
-        small = mixed.filter(f"m <= {SMALL}")
-        other = small.select("region", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
-        pairs = small.filter("outside").join(other, "region").filter(f"comp <> comp2 and {self.fits('n', 'n2')}").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        more = cut(self.alike(pairs.join(tried, ["a", "b"], "left_anti")))
-        near = not more.isEmpty()
-        if near:
-            self.confirm(more)
-        large = mixed.filter(f"m > {SMALL}")
-        if not large.isEmpty():
-            near = True
-            self.links = self.links.unionByName(cut(self.cross_blocks(large)))
-        return cut(components(self.links)) if near else found
-
-    def cross_blocks(self, large: DataFrame) -> DataFrame:
-        """Links (a, b) that join different components in large regions, confirmed on the full sets.
-
-        A block of outsiders meets a block of members in a task of bounded size. A pair that shares regions of several
-        trees is looked at in the first of them only, and pairs that links found in the task have joined are passed
-        over, so a task returns fewer links than it has nodes.
-        """
-        self.load(large.select("node").distinct())
-        k = large.groupBy("region").agg(F.sum(F.col("outside").cast("int")).alias("k"))
-        percent, least, trees, depth = self.percent, self.least_equal, self.trees, self.depth
-
-        def run(x: pd.DataFrame) -> pd.DataFrame:
-            a, b = x[x.side == 0], x[x.side == 1]
-            out: list[tuple[int, int]] = []
-            if len(a) and len(b):
-                left, right = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), trees, depth) for s in (a.sig, b.sig))
-                tree = int(np.flatnonzero(region_keys(left[:1])[0] == np.uint64(np.int64(x.region.iloc[0])))[0])
-                comps, place = np.unique(np.concatenate([a.comp, b.comp]), return_inverse=True)
-                group = np.arange(len(comps))  # components of the task, merged as links are found
-                ca, cb = place[: len(a)], place[len(a) :]
-                nb, zb = b.node.to_numpy(), b.n.to_numpy()
-                sets = [np.frombuffer(h, np.uint64) for h in b.hashes]
-                for node, n, c, s, h in zip(a.node, a.n, ca, left, a.hashes):
-                    own = np.frombuffer(h, np.uint64)
-                    hit = np.flatnonzero((group[cb] != group[c]) & (100 * np.minimum(zb, n) >= percent * np.maximum(zb, n)))
-                    equal = right[hit] == s
-                    share = equal.mean((1, 2))
-                    first = equal.all(2)[:, :tree].any(1)
-                    order = np.flatnonzero((share >= least) & ~first)
-                    for i in hit[order[np.argsort(-share[order], kind="stable")]].tolist():
-                        if group[cb[i]] == group[c]:
-                            continue
-                        common = common_count(own, sets[i])
-                        if 100 * common >= percent * (len(own) + len(sets[i]) - common):
-                            out.append((min(node, nb[i]), max(node, nb[i])))
-                            group[group == group[cb[i]]] = group[c]
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-        blocks = lambda count: F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
-        at = lambda count: F.pmod(F.xxhash64("node"), blocks(count)).cast("int")
-        every = lambda count: F.explode(F.sequence(F.lit(0), blocks(count) - 1))
-        own = ("region", "node", "comp", "n", "side")
-        marked = large.join(k, "region")
-        outs = marked.filter("outside").select("region", "node", "comp", "n", F.lit(0).alias("side"), "m", at("k").alias("i")).select(*own, "i", every("m").alias("j"))
-        ins = marked.select("region", "node", "comp", "n", F.lit(1).alias("side"), "k", at("m").alias("j")).select(*own, every("k").alias("i"), "j")
-        rows = outs.unionByName(ins).join(self.nodes.select("node", "sig"), "node").join(self.sets, "node")
-        return rows.groupBy("region", "i", "j").applyInPandas(run, "a long, b long")
+        near, close = self.neighbours()
+        each = close.select("a", "b", "shared").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")).groupBy("a", "b").agg(F.max("shared").alias("s"))
+        best = each.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "b"))), 1, NEAREST).alias("l"))
+        pairs = best.select("a", F.explode("l.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        self.linker.confirm(pairs)
+        members = near.select(F.xxhash64("tree", "hi").alias("region"), "tree", "node", "n", "lo")
+        finer = [lambda rows, d=d: rows.withColumn("region", F.xxhash64("region", F.shiftrightunsigned("lo", 16 * (LONGEST - d)))) for d in range(LEAST + 1, LONGEST + 1)]
+        muls = functions(self.trees * LONGEST)
+        signature = lambda sets: short_values(sets, muls).reshape(len(sets), -1, LONGEST)
+        return self.linker.settle(members, finer, self.trees, signature, self.least_equal)

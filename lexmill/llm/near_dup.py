@@ -1,7 +1,9 @@
 """MinHash near-duplicates of whole documents by the LSH forest of `forest`.
 
 Exact copies (equal shingle sets) are one node from the start, the least doc_id among them. A link is confirmed on the
-full sets. Two documents at the bound share no region with a chance of (1 - 0.85**4)**24, 2e-8.
+full sets. Two documents at the bound of 0.85 share no prefix of 4 values in any of the 24 orders with a chance of
+(1 - 0.85**4)**24, 2e-8, and none of 8 values, to which only regions of over 48 members in several components are cut,
+with (1 - 0.85**8)**24, 5e-4.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing; a text of fewer words than a
 shingle has its whole sequence as its one shingle. Repeated rows are copies of each other and share a component; rows
@@ -19,19 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .forest import Linker, bit_filter, may_hold, set_key, sketches
+from .forest import LONGEST, Forest, sketches
+from .linking import bit_filter, may_hold, set_key
 from .shingles import chunks, functions, shingle_sets, text_buffer
 
 SIZE = 5
-TREES, DEPTH = 24, 4
+TREES = 24
 PERCENT = 85
 
 
-def sketch(docs: DataFrame, size: int = SIZE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def sketch(docs: DataFrame, size: int = SIZE, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, set_key (16 bytes; null without words), sig (MinHash values as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        muls = functions(trees * depth)
+        muls = functions(trees * LONGEST)
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
             n, keys, sigs = [], [], []
@@ -72,7 +75,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key", F.col("n_shingles").alias("n"))
         .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "sig")).alias("m")).select("set_key", "n", "m.*")
     )
-    found = Linker(nodes, document_sets(docs, size), percent, TREES, DEPTH).run()
+    found = Forest(nodes, document_sets(docs, size), percent, TREES).run()
     classes = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.coalesce(F.col("c"), F.col("doc_id").cast("long"))

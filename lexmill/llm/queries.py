@@ -32,11 +32,6 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.removed_paragraphs(table(spark, sf_dir, "documents"))
-
-
-def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines of any length from one shingle on, and repeated passages whatever lines they span."""
     return paragraphs.removed_units(table(spark, sf_dir, "documents"))
 
 
@@ -70,7 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_paragraph_dedup": op4_paragraph_dedup,
-    "op4_passage_dedup": op4_passage_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
@@ -120,17 +114,28 @@ SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(c AS BIGINT)
 """
 
 OP4_SQL = r"""
-WITH RECURSIVE t AS (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM t),
-w AS MATERIALIZED (SELECT doc_id * 16777216 + i - 1 AS id, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws FROM u),
-k AS MATERIALIZED (SELECT id, ws FROM w WHERE len(ws) >= 20),
-g AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM k)),
-n AS MATERIALIZED (SELECT id, count(*) AS n FROM g GROUP BY id),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
-l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-r AS (SELECT id AS d, id AS m FROM k UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.d WHERE r.m < l.b)
-SELECT x.d // 16777216 AS doc_id, x.d % 16777216 AS paragraph, CAST(len(k.ws) AS BIGINT) AS n_words, x.m // 16777216 AS kept_doc_id, x.m % 16777216 AS kept_paragraph
-FROM (SELECT d, min(m) AS m FROM r GROUP BY d) x JOIN k ON k.id = x.d WHERE x.m <> x.d
+WITH RECURSIVE t AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents WHERE text IS NOT NULL),
+w AS MATERIALIZED (SELECT doc_id, ws, len(ws) AS n, list_transform(ws, lambda v: CAST('0x' || substring(md5(v), 1, 7) AS BIGINT)) AS num,
+  list_filter(list_transform(string_split(x, chr(10)), lambda l: len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))), lambda c: c > 0) AS ls
+  FROM (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM t) WHERE len(ws) > 0),
+e AS MATERIALIZED (SELECT doc_id, n, unnest(range(1, len(ls) + 1)) AS i, ls, list_transform(range(1, len(ls) + 1), lambda k: list_sum(ls[1:k])) AS ends FROM w),
+f AS MATERIALIZED (SELECT doc_id, n, CAST(ends[i] - ls[i] AS BIGINT) AS s, CAST(list_filter(ends, lambda x: x >= ends[i] - ls[i] + 20)[1] AS BIGINT) AS z FROM e),
+h AS (SELECT doc_id, 'line' AS kind, s, z FROM f WHERE z IS NOT NULL UNION
+  SELECT doc_id, 'line', greatest(0, n - 20), n FROM f GROUP BY doc_id, n HAVING coalesce(max(z), 0) < n),
+r AS MATERIALIZED (SELECT doc_id, n, list_transform(range(1, n - 3), lambda i: (num[i] * 1103515245 + num[i + 1] * 1664525 + num[i + 2] * 214013 + num[i + 3] * 16843009 + num[i + 4] * 69069) % 2147483647) AS v FROM w WHERE n >= 50),
+k AS (SELECT DISTINCT doc_id, p - 2 + list_position(win, list_min(win)) AS s FROM (SELECT doc_id, p, v[p:p + 29] AS win FROM (SELECT doc_id, v, unnest(range(1, n - 48)) AS p FROM r))),
+u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, s, kind) AS id, * FROM (SELECT doc_id, kind, s, z FROM h UNION ALL SELECT doc_id, 'passage', s, s + 21 FROM k)),
+g AS MATERIALIZED (SELECT DISTINCT id, kind, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, kind, ws, unnest(range(s + 1, z - 3)) AS i FROM u JOIN w USING (doc_id) WHERE z - s >= 5)
+  UNION ALL SELECT id, kind, '<' || array_to_string(ws[s + 1:z], ' ') FROM u JOIN w USING (doc_id) WHERE z - s < 5),
+q AS MATERIALIZED (SELECT id, kind, list(s ORDER BY s) AS ss FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT kind, ss, min(id) AS rep, len(ss) AS n FROM q GROUP BY kind, ss),
+o AS MATERIALIZED (SELECT id, rep FROM q JOIN c USING (kind, ss)),
+y AS (SELECT rep, kind, unnest(ss) AS s FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM y a JOIN y b ON a.s = b.s AND a.kind = b.kind AND a.rep <> b.rep GROUP BY ALL),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN c x ON x.rep = p.a JOIN c z ON z.rep = p.b WHERE 100 * p.c >= 80 * (x.n + z.n - p.c)),
+m AS (SELECT rep AS d, rep AS t FROM c UNION SELECT l.b, m.t FROM m JOIN l ON l.a = m.d WHERE m.t < l.b)
+SELECT x.doc_id, x.kind, x.s AS start, x.z - x.s AS n_words, y.doc_id AS kept_doc_id, y.s AS kept_start
+FROM o JOIN (SELECT d, min(t) AS t FROM m GROUP BY d) j ON j.d = o.rep JOIN u x ON x.id = o.id JOIN u y ON y.id = j.t WHERE o.id <> j.t AND (x.doc_id <> y.doc_id OR x.s - y.s >= x.z - x.s)
 """
 
 ORACLES: dict[str, str] = {"op3_secret_scan": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op4_paragraph_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_minhash_containment": OP10_SQL}

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix64
-from .forest import bit_filter, may_hold
+from .linking import bit_filter, may_hold
 from .shingles import _BACK, _BASE, chunks, powers, text_buffer
 
 LENGTH, Q = 100, 24
