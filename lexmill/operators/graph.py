@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, release
 
 MAX_ROUNDS = 60
 
@@ -31,8 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        before = sums
+        before, old = sums, e
         e, sums = _kept(small.filter("u <> v").select("v", "u"))
+        release(old)
         if sums == before:
             break
     else:

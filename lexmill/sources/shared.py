@@ -4,34 +4,61 @@ from __future__ import annotations
 
 import atexit
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: set[tuple[SparkSession, str]] = set()
+_paths: dict[int, tuple] = {}
 
 
 def _clean() -> None:
     """Drop the written tables of this session, where the session still runs."""
     for spark, path in list(_written):
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: the folder's owner clears it
             pass
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 atexit.register(_clean)
 
 
+def _folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of our own only where driver and executors are one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "/tmp/checkpoints/lexmill"
+    return top.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder that the cluster names in spark.checkpoint.dir.
 
-    A lost executor costs no recomputation, columns are compressed and can be pruned. Where no folder is set (tests),
-    one of our own is used. The tables go when the driver ends.
+    A lost executor costs no recomputation, columns are compressed and can be pruned. The tables go when the driver
+    ends, or earlier by `release`.
     """
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/lexmill"
-    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.add((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), spark, path)
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables made by `cut` that no later action reads. Other frames are passed over."""
+    for df in tables:
+        ref, spark, path = _paths.get(id(df), (None, None, None))
+        if ref is not None and ref() is df:
+            _delete(spark, path)
+            _written.discard((spark, path))
+            del _paths[id(df)]
