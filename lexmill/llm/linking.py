@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..sources.shared import release
 from .common import cut, mix64
 
 #: Members up to which a region compares pairs in a join; members of a block beyond that.
@@ -126,8 +127,9 @@ class Linker:
         held = rows.groupBy("region", "comp").agg(F.count("*").alias("c"))
         state = held.groupBy("region").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("comps")).filter("comps > 1")
         state = cut(state.select("region", "m", (F.col("m") - F.col("top.c")).alias("k"), F.col("top.comp").alias("most")))
-        found = rows.join(F.broadcast(state) if state.count() <= MAX_STATES else state, "region")
-        return cut(found.withColumn("outside", F.expr("comp <> most")).drop("most"))
+        found = cut(rows.join(F.broadcast(state) if state.count() <= MAX_STATES else state, "region").withColumn("outside", F.expr("comp <> most")).drop("most"))
+        release(state)
+        return found
 
     def settle(self, members: DataFrame, finer: list[Callable[[DataFrame], DataFrame]] = (), trees: int = 1, signature: Callable[[list[np.ndarray]], np.ndarray] | None = None, least_equal: float = 0.0) -> DataFrame:
         """(node, component) after comparing what is still apart in the regions of members (region, tree, node, n, ...).
@@ -152,13 +154,18 @@ class Linker:
             if step is None:
                 crowded = large
                 break
-            rows = step(large.drop("m", "k", "outside"))
+            rows = step(large.drop("m", "k", "outside"))  # read from `mixed`, which stays
         if pairs is not None:
-            self.confirm(cut(pairs.distinct()))
+            pairs = cut(pairs.distinct())
+            self.confirm(pairs)
+            release(pairs)
         if crowded is not None:
             self.load(crowded.select("node").distinct())
             self.add(self.cross_blocks(crowded, trees, signature, least_equal))
-        return found if pairs is None else cut(components(self.links))
+        if pairs is None:
+            return found
+        release(found)
+        return cut(components(self.links))
 
     def cross_blocks(self, large: DataFrame, trees: int, signature: Callable[[list[np.ndarray]], np.ndarray], least_equal: float) -> DataFrame:
         """Links (a, b) that join different components in crowded regions, confirmed on the full sets.

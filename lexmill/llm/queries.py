@@ -125,9 +125,9 @@ h AS (SELECT doc_id, 'line' AS kind, s, z FROM f WHERE z IS NOT NULL UNION
 r AS MATERIALIZED (SELECT doc_id, n, list_transform(range(1, n - 3), lambda i: (num[i] * 1103515245 + num[i + 1] * 1664525 + num[i + 2] * 214013 + num[i + 3] * 16843009 + num[i + 4] * 69069) % 2147483647) AS v FROM w WHERE n >= 50),
 k AS (SELECT DISTINCT doc_id, p - 2 + list_position(win, list_min(win)) AS s FROM (SELECT doc_id, p, v[p:p + 29] AS win FROM (SELECT doc_id, v, unnest(range(1, n - 48)) AS p FROM r))),
 u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, s, kind) AS id, * FROM (SELECT doc_id, kind, s, z FROM h UNION ALL SELECT doc_id, 'passage', s, s + 21 FROM k)),
-g AS MATERIALIZED (SELECT DISTINCT id, kind, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, kind, ws, unnest(range(s + 1, z - 3)) AS i FROM u JOIN w USING (doc_id) WHERE z - s >= 5)
+g AS MATERIALIZED (SELECT DISTINCT id, kind, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, kind, ws, unnest(range(s + 1, z - 3)) AS i FROM u JOIN w USING (doc_id) WHERE kind = 'line' AND z - s >= 5)
   UNION ALL SELECT id, kind, '<' || array_to_string(ws[s + 1:z], ' ') FROM u JOIN w USING (doc_id) WHERE z - s < 5),
-q AS MATERIALIZED (SELECT id, kind, list(s ORDER BY s) AS ss FROM g GROUP BY ALL),
+q AS MATERIALIZED (SELECT id, kind, list(s ORDER BY s) AS ss FROM g GROUP BY ALL UNION ALL SELECT id, kind, [array_to_string(ws[s + 1:z], ' ')] FROM u JOIN w USING (doc_id) WHERE kind = 'passage'),
 c AS MATERIALIZED (SELECT kind, ss, min(id) AS rep, len(ss) AS n FROM q GROUP BY kind, ss),
 o AS MATERIALIZED (SELECT id, rep FROM q JOIN c USING (kind, ss)),
 y AS (SELECT rep, kind, unnest(ss) AS s FROM c),

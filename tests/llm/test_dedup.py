@@ -122,7 +122,7 @@ def plain_removed(texts):
     want = set()
     for kind in paragraphs.KINDS:
         all_ = {(i, k[1]): w for i, t in enumerate(texts) for k, w in plain_units(t).items() if k[0] == kind}
-        top = brute_components({k: shingles(" ".join(w)) for k, w in all_.items()}, 80)
+        top = brute_components({k: shingles(" ".join(w)) if kind == "line" else {tuple(w)} for k, w in all_.items()}, 80)
         want |= {(i, kind, s, len(all_[i, s]), *top[i, s]) for i, s in all_ if top[i, s] != (i, s) and (top[i, s][0] != i or s - top[i, s][1] >= len(all_[i, s]))}
     return want
 
