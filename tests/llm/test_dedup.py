@@ -99,17 +99,13 @@ def test_first_of_each_keeps_clean_documents(spark):
 def plain_units(text):
     """{(kind, start): words} of a text, read line by line and run by run."""
     lines = [x for x in map(words_of, (text or "").split("\n")) if x]
-    ws, out, at, covered = [w for x in lines for w in x], {}, 0, 0
-    for i, x in enumerate(lines):
-        n, k = 0, i
-        while k < len(lines) and n < 20:
-            n, k = n + len(lines[k]), k + 1
-        if n >= 20:
-            out["line", at] = ws[at : at + n]
-            covered = at + n
+    ws, out, at = [w for x in lines for w in x], {}, 0
+    for x in lines:
+        if len(x) >= 20:
+            out["line", at] = x
         at += len(x)
-    if covered < len(ws):
-        out["line", max(0, len(ws) - 20)] = ws[-20:]
+    if ws and len(ws) < 50 and not out:
+        out["line", 0] = ws
     number = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in ws]
     rank = [sum(a * b for a, b in zip(number[i : i + 5], paragraphs.FACTORS)) % 2147483647 for i in range(len(ws) - 4)]
     for p in range(len(ws) - 49):
