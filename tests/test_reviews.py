@@ -19,9 +19,9 @@ def test_numbers_and_their_support():
 
 def test_anchors_and_retention():
     got = [a[:2] for a in facts.anchors("星湾科技于2024年5月1日投入3亿元，新增20家，覆盖5G", {"organization": ("星湾科技", "星湾")})]
-    assert got[0] == ("organization", "星湾科技") and ("date_year", "2024年5月1日") in got and ("amount", "3亿元") in got and ("number", "20家") in got
+    assert got[0] == ("organization", "星湾科技") and ("date_year", "2024年5月1日") in got and ("amount", "300000000元") in got and ("number", "20家") in got
     kept, missing, new = facts.retention(["投入3亿元"], "投入4亿元")
-    assert missing == [("amount", "3亿元")] and new == [("amount", "4亿元")] and kept == []
+    assert missing == [("amount", "300000000元")] and new == [("amount", "400000000元")] and kept == []
 
 
 def test_fact_validation():
