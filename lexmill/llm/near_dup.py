@@ -8,7 +8,7 @@ with (1 - 0.85**8)**24, 5e-4.
 Null and empty texts, and texts without words, have no shingles and link with nothing; a text of fewer words than a
 shingle has its whole sequence as its one shingle. Repeated rows are copies of each other and share a component; rows
 that share a doc_id but not a text are taken for versions of one document, linked with each other. A null doc_id is
-kept, with its class's component.
+kept, with its class's component. doc_id is an integer, or a text of one; other ids raise the error of the cast.
 """
 
 from __future__ import annotations
@@ -89,14 +89,14 @@ def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     and stays only where its group has no id. Of several rows of the id that stays, the one of least text digest does.
     """
     made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), made)))
-    found = near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), size, percent)
-    kept = cut(found.filter("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_k")).agg(F.count("*").alias("_n")))
+    # rows travel as one struct, so no column of docs can clash with those made here
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), made)).alias("id"))
+    found = near_duplicates(named.select(F.col("id").alias("doc_id"), "text"), size, percent)
+    kept = cut(found.filter("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies")))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = named.filter(worded).join(kept.filter("_n = 1").select("_k"), F.col("_id") == F.col("_k"), "left_semi")
-    out = stay.unionByName(named.filter(~worded))
-    several = kept.filter("_n > 1")
+    of = lambda ids: named.filter(worded).join(ids.select("kept_id"), F.col("id") == F.col("kept_id"), "left_semi")
+    out = of(kept.filter("copies = 1")).unionByName(named.filter(~worded)).select("row")
+    several = kept.filter("copies > 1")
     if not several.isEmpty():
-        rows = named.filter(worded).join(several.select("_k"), F.col("_id") == F.col("_k"), "left_semi")
-        out = out.unionByName(rows.groupBy("_id").agg(F.min_by(F.struct(*docs.columns), F.sha2("text", 256)).alias("_r")).select("_id", "_r.*"))
-    return out.select(*docs.columns)
+        out = out.unionByName(of(several).groupBy("id").agg(F.min_by("row", F.sha2("text", 256)).alias("row")).select("row"))
+    return out.select("row.*")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix64
-from .linking import bit_filter, may_hold
+from .linking import MAX_STATES, bit_filter, may_hold
 from .shingles import _BACK, _BASE, chunks, powers, text_buffer
 
 LENGTH, Q = 100, 24
@@ -45,8 +45,10 @@ REACH = LENGTH - Q
 WIDE = REACH + LENGTH
 #: Stands for a null doc_id: before all others.
 NO_ID = -(1 << 62)
+#: Bytes of texts and of results that a Python task holds at once (a longer text is held alone), and anchors.
+TEXT_BYTES, HELD_BYTES, ANCHORS = 1 << 18, 1 << 21, 1 << 17
 #: Contexts refined at once; a bucket with more is refined in several blocks.
-BLOCK = 4096
+BLOCK = 1024
 _rng = np.random.default_rng(77)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -88,26 +90,30 @@ def anchors(part: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.
 def _places(docs: DataFrame) -> DataFrame:
     """(bucket, context, doc_id, place): an anchor a row. A known repeat has ~place and a key of its own as its bucket."""
 
+    def marked(found: list[tuple]) -> pa.RecordBatch:
+        doc, place, bucket, context = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, doc, context, bucket))
+        known = np.zeros(len(order), bool)
+        known[order[1:]] = (bucket[order][1:] == bucket[order][:-1]) & (context[order][1:] == context[order][:-1])
+        bucket = np.where(known, mix64(doc.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), bucket)
+        context, place = np.where(known, np.uint64(0), context), np.where(known, ~place, place)
+        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(place)], ["bucket", "context", "doc_id", "place"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            found = []
-            for i, j in chunks(offsets):
+            found, held = [], 0
+            for i, j in chunks(offsets, TEXT_BYTES):
                 o = offsets[i : j + 1] - offsets[i]
                 place, _, _, of, bucket, context = anchors(data[offsets[i] : offsets[j]], o[1:], o[:-1])
                 found.append((ids[i + of], (place - o[of]).astype(np.int32), bucket, context))
-            if not found:
-                continue
-            doc, place, bucket, context = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((place, doc, context, bucket))
-            known = np.zeros(len(order), bool)
-            known[order[1:]] = (bucket[order][1:] == bucket[order][:-1]) & (context[order][1:] == context[order][:-1])
-            bucket = np.where(known, mix64(doc.astype(np.uint64) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), bucket)
-            context, place = np.where(known, np.uint64(0), context), np.where(known, ~place, place)
-            for k in range(0, len(doc), 200_000):
-                s = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(doc[s]), pa.array(place[s])], ["bucket", "context", "doc_id", "place"])
+                held += len(place)
+                if held >= ANCHORS:
+                    yield marked(found)
+                    found, held = [], 0
+            if found:
+                yield marked(found)
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, context long, doc_id long, place int")
 
@@ -183,7 +189,9 @@ def _packed(docs: DataFrame, bits) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             b = b.filter(pa.array(may_hold(bits.value, b.column("doc_id").to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack.compress((t.as_py() or "").encode()) for t in b.column("text")], pa.binary())], ["doc_id", "packed"])
+            for i, j in chunks(text_buffer(b.column("text"))[1], HELD_BYTES):
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack.compress((t.as_py() or "").encode()) for t in part.column("text")], pa.binary())], ["doc_id", "packed"])
 
     return docs.mapInArrow(run, "doc_id long, packed binary")
 
@@ -206,11 +214,18 @@ def _first_pass(joined: DataFrame) -> DataFrame:
     """A row a document: its digest where nothing is to refine, else its text, intervals so far and contexts to refine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        unpack = zstandard.ZstdDecompressor()
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("spans", pa.list_(pa.int32())), ("contexts", pa.list_(pa.struct([("bucket", pa.int64()), ("place", pa.int32()), ("lo", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("raw", pa.binary())])))])
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, packed, found in zip(b.column("doc_id").to_pylist(), b.column("packed"), b.column("found")):
+                if held >= HELD_BYTES:
+                    yield out(rows)
+                    rows, held = [], 0
                 small = packed.as_py()
                 raw = unpack.decompress(small) if small else b""
                 got = np.asarray(found.values, np.int64) if found.is_valid else np.zeros(0, np.int64)
@@ -230,7 +245,8 @@ def _first_pass(joined: DataFrame) -> DataFrame:
                     s = int(max(first[k], 0))
                     contexts.append({"bucket": int(bucket[k : k + 1].view(np.int64)[0]), "place": int(place[k]), "lo": s, "first": int(first[k]), "last": int(last[k]), "raw": raw[s : int(last[k]) + LENGTH]})
                 rows.append((doc_id, len(raw), None, None, None, small, np.stack([lo, hi], 1).ravel().astype(np.int32), contexts))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+                held += len(small) + 1024 * len(contexts)
+            yield out(rows)
 
     return joined.mapInArrow(run, RESULT + ", packed binary, spans array<int>, contexts array<struct<bucket:bigint,place:int,lo:int,first:int,last:int,raw:binary>>")
 
@@ -262,62 +278,61 @@ def refined(raws: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndar
 
 
 def _refined(contexts: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): strings of the contexts that an earlier place of their bucket has too."""
+    """(doc_id, lo, hi): strings of the contexts that an earlier place of their bucket has too.
+
+    A bucket of more than BLOCK contexts is dealt into blocks of about that many. What repeats within a block is known
+    there; the first place of each string of such a block is passed on with a 128-bit key of the string, and keys tell
+    which of them repeat an earlier one. So a task holds one block, however large the bucket.
+    """
 
-    def block(rows: list[tuple], seen: set[bytes] | None) -> tuple[list, list, list]:
+    def block(rows: list[tuple], keyed: bool) -> pa.RecordBatch:
         ids, at = refined([r[6] for r in rows])
-        docs, los, his = [], [], []
         own = [np.arange(at[k] + r[4] - r[3], at[k] + r[5] - r[3] + 1) for k, r in enumerate(rows)]
         flat = np.concatenate(own)
+        of = np.repeat(np.arange(len(rows)), [len(o) for o in own])
         # rows are sorted by bucket, doc_id and place; buckets are told apart by the anchor's offset and bytes, which the strings hold
         _, first = np.unique(ids[flat], return_index=True)
         repeat = np.ones(len(flat), bool)
         repeat[first] = False
-        if seen is not None:  # one bucket in several blocks: strings of the blocks before
-            raw = b"".join(r[6] for r in rows)
-            for f in first.tolist():
-                key = hashlib.blake2b(raw[flat[f] : flat[f] + LENGTH], digest_size=16).digest()
-                if key in seen:
-                    repeat[f] = True
-                else:
-                    seen.add(key)
-        k = np.repeat(np.arange(len(rows)), [len(o) for o in own])[repeat]
-        start = flat[repeat] - at[k]
-        for i, s in zip(k.tolist(), start.tolist()):
-            s += rows[i][3]
+        docs, los, his, keys = [], [], [], []
+        shift = np.array([r[3] for r in rows]) - at[:-1]
+        for i, s in zip(of[repeat].tolist(), (flat + shift[of])[repeat].tolist()):
             if docs and docs[-1] == rows[i][1] and los[-1] <= s <= his[-1]:
                 his[-1] = s + LENGTH
             else:
                 docs.append(rows[i][1])
                 los.append(s)
                 his.append(s + LENGTH)
-        return docs, los, his
+        keys = [None] * len(docs)
+        if keyed:
+            raw = b"".join(r[6] for r in rows)
+            for f in first.tolist():
+                s = int(flat[f] + shift[of[f]])
+                docs.append(rows[of[f]][1])
+                los.append(s)
+                his.append(s + LENGTH)
+                keys.append(hashlib.blake2b(raw[flat[f] : flat[f] + LENGTH], digest_size=16).digest())
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "lo", "hi", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows, seen):
-            d, lo, hi = block(rows, seen)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["doc_id", "lo", "hi"])
-
         held: list[tuple] = []
-        seen: set[bytes] | None = None
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "place", "lo", "first", "last", "raw"))):
-                if held and r[0] != held[-1][0]:
-                    if seen is not None or len(held) >= BLOCK // 2:
-                        yield out(held, seen)
-                        held, seen = [], None
-                elif len(held) >= BLOCK:
-                    whole = [x for x in held if x[0] != r[0]]
-                    if whole:
-                        yield out(whole, None)
-                    seen = set() if seen is None else seen
-                    yield out([x for x in held if x[0] == r[0]], seen)
+            for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "place", "lo", "first", "last", "raw", "blocks", "salt"))):
+                if held and (r[0], r[8]) != (held[-1][0], held[-1][8]) and (r[7] > 1 or held[-1][7] > 1 or len(held) >= BLOCK // 2):
+                    yield block(held, held[-1][7] > 1)
                     held = []
                 held.append(r)
         if held:
-            yield out(held, seen)
-
-    return contexts.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "place").mapInArrow(run, "doc_id long, lo int, hi int")
+            yield block(held, held[-1][7] > 1)
+
+    count = cut(contexts.groupBy("bucket").agg(F.count("*").alias("c")).filter(f"c > {BLOCK}"))
+    sized = contexts.join(F.broadcast(count) if count.count() <= MAX_STATES else count, "bucket", "left")
+    dealt = sized.withColumn("blocks", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), "blocks").cast("int")).drop("c")
+    out = cut(dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "doc_id", "place").mapInArrow(run, "doc_id long, lo int, hi int, key binary"))
+    firsts = out.filter("key is not null")
+    least = firsts.groupBy("key").agg(F.min(F.struct("doc_id", "lo")).alias("m"))
+    again = firsts.join(least, "key").filter("doc_id <> m.doc_id or lo <> m.lo")
+    return out.filter("key is null").select("doc_id", "lo", "hi").unionByName(again.select("doc_id", "lo", "hi"))
 
 
 def _last_pass(rest: DataFrame) -> DataFrame:

@@ -91,6 +91,13 @@ def test_first_of_each_decides_by_row(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("5", " ".join(base)), ("None", other), ("None", "None"), ("None", ""), ("8", " "), ("8", lone + " end")])
 
 
+def test_first_of_each_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a", 7, 1), (1, text, "a", 7, 1), (2, text + " x", "b", 8, 2), (3, "other words", "c", 9, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, id int, _id int")
+    assert sorted(tuple(r) for r in near_dup.first_of_each(df).collect()) == [rows[0], rows[3]]
+
+
 def test_first_of_each_keeps_clean_documents(spark):
     df = frame(spark, [f"alpha{i} beta gamma delta{i} epsilon zeta" for i in range(5)] + [None, ""])
     assert near_dup.first_of_each(df).count() == 7
@@ -239,26 +246,23 @@ def test_refinement_of_buckets():
 
 
 def test_refinement_in_several_blocks(spark, monkeypatch):
-    import pyarrow as pa
-
-    rows = [{"bucket": b, "doc_id": d, "place": 0, "lo": 0, "first": 0, "last": 0, "raw": bytes([65 + b, 65 + d % 3]) * 50} for b in (1, 2) for d in range(40)]
-    want = None
+    rows = [(b, d, 0, 0, 0, 0, bytes([65 + b, 65 + d % 3]) * 50) for b in (1, 2) for d in range(40)]
+    df = spark.createDataFrame(rows, "bucket long, doc_id long, place int, lo int, first int, last int, raw binary").repartition(3)
     for block in (4096, 8, 5):
         monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-        kept = []
-
-        class Frame:
-            def repartition(self, *_): return self
-            sortWithinPartitions = repartition
-            def mapInArrow(self, f, _):
-                t = pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("lo", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("raw", pa.binary())]))
-                for b in f(iter(t.to_batches(max_chunksize=7))):
-                    kept.extend(b.to_pylist())
-
-        suffix_dedup._refined(Frame())
-        got = sorted((r["doc_id"], r["lo"], r["hi"]) for r in kept)
-        want = want or got
-        assert got == want and len(got) == 2 * 37
+        got = sorted((r.doc_id, r.lo, r.hi) for r in suffix_dedup._refined(df).collect())
+        assert got == sorted((d, 0, 100) for d in range(3, 40) for _ in (1, 2))
+
+
+@pytest.mark.parametrize("block", [1024, 6])
+def test_one_passage_in_many_contexts(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rnd = random.Random(9)
+    own = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = own(170)
+    rows = [(i, own(rnd.randrange(200)) + passage[rnd.randrange(30) :] + own(rnd.randrange(200))) for i in range(150)] + [(200, own(400_000) + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_bytes(df).collect()} == brute_bytes(rows)
 
 
 def test_contained_items_match_brute_force(spark):
