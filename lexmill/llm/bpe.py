@@ -5,7 +5,8 @@ found by a scan, its boundary is deleted, and the ranks beside it are refreshed,
 so each Python worker keeps the ids of words it has met in a table of bounded size.
 
 The vocabulary is a public tokenizer file (JSON) whose path is a parameter; it is read on the driver and sent to the
-workers, as it has a fixed size. Null text counts as empty and has no tokens.
+workers, as it has a fixed size. Null text counts as empty and has no tokens. Rows are encoded one by one, repeated ones
+too; a doc_id of any type passes unchanged; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -159,18 +160,19 @@ def encode_docs(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, with `ids` (array<int>) and `decoded` where asked for."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if ids else [])]
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(spec.value)
         for b in batches:
             rows = []
-            for text in b["text"]:
-                raw = t.encode_bytes(text)
+            for text in b.column("text"):
+                raw = t.encode_bytes(text.as_py())
                 got = np.frombuffer(raw, "<u4").tolist()
                 back = t.decode(got)
                 rows.append((len(got), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *((got, back) if ids else ())))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if ids else ())])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+            cols = zip(*rows) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, (_, k) in zip(cols, kinds))], ["doc_id", *(n for n, _ in kinds)])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(encoded, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids)
+    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids)

@@ -30,9 +30,14 @@ FOLDS, HELD_OUT = 4, 2
 LENGTH = 192
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4, 5), 12
 EPOCHS, BATCH, RATE = 5, 64, 0.004
+#: A superset of the letters: numbers written as signs (², ½, Ⅷ) are word characters too, so each is asked for itself.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 class ByteCnn:
     """Embedding, convolutions of several widths with rectified maxima, and a softmax layer."""
 
@@ -160,7 +165,7 @@ def predict(docs: DataFrame, model: ByteCnn) -> DataFrame:
                 mean = np.exp(total / np.maximum(n, 1)[:, None])
                 mean /= np.maximum(mean.sum(1, keepdims=True), 1e-12)
                 for t, p in zip(b.column("text").slice(i, j - i), mean):
-                    known = bool(model.languages) and (s := t.as_py()) is not None and LETTER.search(s) is not None
+                    known = bool(model.languages) and (s := t.as_py()) is not None and has_letter(s)
                     langs.append(model.languages[int(p.argmax())] if known else "und")
                     scores.append(float(p.max()) if known else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])

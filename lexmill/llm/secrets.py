@@ -14,9 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +55,11 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bytes]]:
     if DIGIT.search(text) or HEX.search(text):
         found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
         taken = sorted((s, e) for s, _, e, _ in found)
+        begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for m in BARE.finditer(text):
-            if entropy(m[0]) >= MIN_ENTROPY and not any(s < m.end() and m.start() < e for s, e in taken):
+            # the only spans that can overlap are those that begin before its end; of these the one that reaches farthest
+            k = bisect_left(begins, m.end())
+            if entropy(m[0]) >= MIN_ENTROPY and not (k and reach[k - 1] > m.start()):
                 found.append((m.start(), 3, m.end(), m[0]))
     return sorted((s, k, e, hashlib.blake2b(v.encode(), digest_size=16).digest()) for s, k, e, v in found)
 
@@ -63,16 +67,18 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bytes]]:
 def scan(docs: DataFrame, owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """doc_id, a digest of the text, owner, repo and the candidates of each row; one pass over the texts, no shuffle."""
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.binary())]))
+        names = ["row_id", "doc_id", "text_key", "owner", "repo"]
         for b in batches:
-            found = [[dict(zip(("start", "kind", "end", "value"), x)) for x in candidates(t)] for t in b["text"]]
-            yield pd.DataFrame({"row_id": b["row_id"], "doc_id": b["doc_id"], "text_key": b["text_key"], "owner": b["owner"], "repo": b["repo"], "found": found})
+            found = [[dict(zip(("start", "kind", "end", "value"), x)) for x in candidates(t.as_py())] for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, kind)], [*names, "found"])
 
     marked = docs.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", F.unhex(F.sha2("text", 256)).alias("text_key"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"),
         F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in repo_cols]).alias("repo"), "text",
     )
-    return marked.mapInPandas(spans, f"row_id long, doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, owner string, repo string, found {SPAN}")
+    return marked.mapInArrow(spans, f"row_id long, doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, owner string, repo string, found {SPAN}")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -121,18 +127,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS
     Spans follow from a text and the verdicts on its values, so rows find theirs by doc_id and text: rows with a null
     doc_id, or of one doc_id with different texts, are masked each at its own places.
     """
-    hit = classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans")).dropDuplicates(["_d", "_t"])
-    both = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.unhex(F.sha2("text", 256)) == F.col("_t")), "left").drop("_d", "_t")
+    hit = classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")).dropDuplicates(["d", "t"])
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.unhex(F.sha2("text", 256)).alias("key"))
+    both = packed.join(hit, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), "left").select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "spans")
+    docs_columns, width = docs.columns, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, t = b.column("_spans"), b.schema.get_field_index("text")
+            spans, t = b.column(width), docs_columns.index("text")
+            b = b.select(range(width))
             if spans.null_count < len(spans):
                 texts = [x if s is None or x is None else masked(x, [(y["start"], y["end"]) for y in s], mark) for x, s in zip(b.column(t).to_pylist(), spans.to_pylist())]
                 b = b.set_column(t, b.schema.field(t), pa.array(texts, b.schema.field(t).type))
                 if (n := b.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(b.schema.field(n).type):
                     b = b.set_column(n, b.schema.field(n), pa.array([c if s is None or x is None else len(x) for c, x, s in zip(b.column(n).to_pylist(), texts, spans.to_pylist())], b.schema.field(n).type))
-            yield b.select(docs_columns)
+            yield b
 
-    docs_columns = docs.columns
     return both.mapInArrow(run, docs.schema)

@@ -163,3 +163,7 @@ def test_bounded_samples(spark):
     got = least_hashed(d, "id", 50, "g").collect()
     assert all({r.id for r in got if r.g == g} == set([i for i in order if i % 3 == g][:50]) for g in range(3))
     assert least_hashed(d, "id", 5000).count() == 3000 and least_hashed(d.limit(0), "id", 5, "g").count() == 0
+
+
+def test_signs_of_numbers_are_no_letters():
+    assert not any(language.has_letter(x) for x in ("²", "½", "①", "Ⅷ", "12_3", "")) and language.has_letter("½ a") and language.has_letter("ж")

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import diff
 from lexmill.llm import bpe, quality_rules, queries, secrets
@@ -132,3 +133,23 @@ def test_bpe_query_digests(spark, own):
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(own.decode(ids).encode()).hexdigest()
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    text = "password=abcdefghijkl99"
+    df = spark.createDataFrame([(None, text, "a", "b"), (2**53 + 1, text, "a", "b")], "doc_id long, text string, source string, lang string").coalesce(1)
+    for got in (secrets.report(df), bpe.encode_docs(df, queries.tokenizer_path())):
+        assert {r.doc_id for r in got.collect()} == {None, 2**53 + 1}
+
+
+def test_redaction_with_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "login password=zyxwvutsrqpo9", "x", 5, "s"), (1, "a longer text before password=zyxwvutsrqpo9", "y", 6, "t"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _d int, spans string").withColumn("lang", F.lit("en"))
+    got = sorted((str(r.text), r._d, r.spans) for r in secrets.redact(df).collect())
+    assert got == [("None", None, None), ("a longer text before [SECRET]", 6, "t"), ("login [SECRET]", 5, "s")]
+
+
+def test_bare_tokens_beside_many_spans():
+    hexes = " ".join(f"{i:016x}" for i in range(3000))
+    token = "Zq9XwVu8TsRp7OnMl6Kj"
+    assert [x[:3] for x in secrets.candidates(f"{hexes} {token}") if x[1] == 3] == [(3000 * 17, 3, 3000 * 17 + 20)]
