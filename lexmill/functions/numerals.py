@@ -13,6 +13,8 @@ UNITS = {"十": 10, "百": 100, "千": 1000}
 SCALES = {"万": 10_000, "亿": 100_000_000}
 MEASURES = "年 月 日 时 点 分 秒 个 家 次 届 辆 车 人 名 部 台 座 条 款 项 户 城 席 楼 号 公里 米 吨 元 美元 万 亿".split()
 COUNTERS = "个 家 次 名 部 台 座 条 款 项 户".split()
+#: Characters beside a numeral that are looked at.
+NEAR = 40
 LATE = ("下午", "晚上", "晚")
 
 _NUMERAL = "".join([*DIGITS, *UNITS, *SCALES])
@@ -23,7 +25,7 @@ _DASHES = dict.fromkeys(map(ord, "—–～~至到"), "-")
 
 
 class Token(NamedTuple):
-    """A numeral, the text around it, and the numeral that follows after one character."""
+    """A numeral and the text beside it, as far as any form looks."""
 
     text: str
     arabic: bool
@@ -41,7 +43,7 @@ def surface(text: str | None) -> str:
 
 
 def tokens(x: str) -> list[Token]:
-    return [Token(m[0], m["arabic"] is not None, x[: m.start()], x[m.end() :]) for m in _TOKEN.finditer(x)]
+    return [Token(m[0], m["arabic"] is not None, x[max(0, m.start() - NEAR) : m.start()], x[m.end() : m.end() + NEAR]) for m in _TOKEN.finditer(x)]
 
 
 def _folded(x: str, whole: bool) -> int | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python_text as P
 from ..functions import text as T
-from ..operators import dedup, grouping
+from ..operators import dedup, facts, grouping
 from ..operators.dedup import shared_rare_keys
 from ..operators.graph import components
 from ..operators.tables import articles, table
@@ -121,6 +121,33 @@ def semantic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("doc_id", F.size("u").cast("long").alias("n_units"), F.coalesce(F.array_max(F.transform("u", F.length)), F.lit(0)).cast("long").alias("longest"), F.sha2(F.array_join("u", "\n"), 256).alias("units_sha256"))
 
 
+def _validated(paragraphs: list[str]) -> list[str]:
+    ps = list(paragraphs)
+    rows = [{"fact_id": f"F{i:02d}", "fact": t, "evidence_paragraph_ids": ids} for i, (ids, t) in enumerate(P.semantic_units(ps), 1)]
+    return [str(len(rows)), f"{facts.coverage(rows, ps):.6f}", *facts.validate_facts(rows, ps)]
+
+
+@R.query()
+def fact_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of each article held as facts against the paragraphs that they cite: codes of what is wrong, coverage."""
+    v = articles(spark, sf_dir).select("doc_id", P.arrow(lambda ps: _validated(ps), "array<string>")(T.paragraphs(F.col("body"))).alias("v"))
+    return v.select("doc_id", F.get("v", F.lit(0)).cast("long").alias("n_facts"), F.get("v", F.lit(1)).cast("double").alias("coverage"), F.slice("v", 3, F.size("v")).alias("codes"))
+
+
+def _supported(prediction: str, reference: str) -> list[list[str]]:
+    kept, missing, new = facts.retention([reference], prediction)
+    shown = lambda x: [f"{k}:{v}" for k, v in x]
+    return [facts.unsupported_numbers(prediction, reference), facts.unsupported_dates(prediction, reference), shown(kept), shown(missing), shown(new)]
+
+
+@R.query()
+def turn_fact_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each assistant turn: numbers and dates that the user turn before does not support, and anchors kept, missing and new."""
+    held = P.arrow(lambda a, b: _supported(a, b), "array<array<string>>")
+    names = ("unsupported_numbers", "unsupported_dates", "retained", "missing", "new")
+    return _pairs(spark, sf_dir).select("id", held("prediction", "reference").alias("v")).select("id", *[F.get("v", F.lit(k)).alias(n) for k, n in enumerate(names)])
+
+
 @R.query()
 def title_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of each title in normalized form."""

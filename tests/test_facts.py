@@ -49,3 +49,39 @@ def test_units_keep_words_whole():
     assert "".join(parts) == text and any("ABCDEFGHIJ" in p for p in parts)
     assert python_text.semantic_units([]) == [] and python_text.semantic_units(["", " "]) == []
     assert python_text.semantic_units(["甲，乙，丙"]) == [([1], "甲，"), ([1], "乙，"), ([1], "丙")]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(name):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+def test_fact_validation_matches_a_plain_loop(spark):
+    from lexmill.plans import catalogue
+
+    want = {}
+    for r in rows("documents"):
+        ps = [p.strip() for p in (r["text"] or "").split("\n") if p.strip()]
+        units = python_text.semantic_units(ps)
+        found = [{"fact_id": f"F{i:02d}", "fact": t, "evidence_paragraph_ids": ids} for i, (ids, t) in enumerate(units, 1)]
+        cited = {i for ids, _ in units for i in ids}
+        want[r["doc_id"]] = (len(units), round(len(cited) / len(ps), 6) if ps else 0.0, tuple(facts.validate_facts(found, ps)))
+    got = {r.doc_id: (r.n_facts, r.coverage, tuple(r.codes)) for r in catalogue.QUERIES["fact_validation"](spark, SF).collect()}
+    assert got == want
+
+
+def test_turn_support_matches_a_plain_loop(spark):
+    from lexmill.plans import catalogue
+
+    turns = sorted(rows("conversations"), key=lambda r: (r["conv_id"], r["turn"]))
+    want = {}
+    for a, b in zip(turns, turns[1:]):
+        if a["conv_id"] == b["conv_id"] and a["role"] == "user" and b["role"] == "assistant":
+            named = [{x[:2] for x in facts.anchors(t["text"])} for t in (a, b)]
+            want[b["conv_id"] * 1000 + b["turn"]] = (tuple(facts.unsupported_numbers(b["text"], a["text"])), *(len(x) for x in (named[0] & named[1], named[0] - named[1], named[1] - named[0])))
+    got = {r.id: (tuple(r.unsupported_numbers), len(r.retained), len(r.missing), len(r.new)) for r in catalogue.QUERIES["turn_fact_support"](spark, SF).collect()}
+    assert got == want and len(want) > 0
