@@ -129,13 +129,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS
     """
     hit = classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")).dropDuplicates(["d", "t"])
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.unhex(F.sha2("text", 256)).alias("key"))
-    both = packed.join(hit, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), "left").select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "spans")
+    both = packed.join(hit, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), "left").select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "spans")
     docs_columns, width = docs.columns, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans, t = b.column(width), docs_columns.index("text")
-            b = b.select(range(width))
+            b = b.select(range(width)).rename_columns(docs_columns)
             if spans.null_count < len(spans):
                 texts = [x if s is None or x is None else masked(x, [(y["start"], y["end"]) for y in s], mark) for x, s in zip(b.column(t).to_pylist(), spans.to_pylist())]
                 b = b.set_column(t, b.schema.field(t), pa.array(texts, b.schema.field(t).type))
