@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 #: White space as the vocabulary's own patterns mean it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = regex.compile(f"[^{WHITE}]+")
-#: Words kept by a worker before its table starts anew.
-MAX_WORDS = 400_000
+#: Words kept by a worker, half of them as the newer and half as the older generation; an older one in use becomes a newer.
+MAX_WORDS = 240_000
 NO_RANK = 1 << 30
 #: From this many parts on, a word is merged by linked positions and a heap, so that a very long word costs n log n.
 LONG_WORD = 256
@@ -57,6 +57,7 @@ class WordBpe:
             self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, parts: list[int]) -> list[int]:
         """Ids of the parts after all merges: lowest rank first, leftmost among equals."""
@@ -107,10 +108,11 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids, as bytes, of a run without white space."""
-        ids = [i for p in self.piece.findall(chunk) for i in self.word(p)]
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(self.words) >= MAX_WORDS:
-            self.words.clear()
+        out = self.older.get(chunk)
+        if out is None:
+            out = np.array([i for p in self.piece.findall(chunk) for i in self.word(p)], dtype="<u4").tobytes()
+        if 2 * len(self.words) >= MAX_WORDS:
+            self.words, self.older = {}, self.words
         if len(chunk) <= 64:
             self.words[chunk] = out
         return out

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .forest import LONGEST, Forest, sketches
 from .linking import bit_filter, may_hold, set_key
-from .shingles import chunks, functions, shingle_sets, text_buffer
+from .shingles import SMALL_CHUNK_BYTES, chunks, functions, shingle_sets, text_buffer
 
 SIZE = 5
 TREES = 24
@@ -38,7 +38,7 @@ def sketch(docs: DataFrame, size: int = SIZE, trees: int = TREES) -> DataFrame:
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
             n, keys, sigs = [], [], []
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, SMALL_CHUNK_BYTES):
                 sets = shingle_sets(data, offsets[i : j + 1], size)
                 n += [len(s) for s in sets]
                 keys += [set_key(s) for s in sets]
@@ -58,7 +58,7 @@ def document_sets(docs: DataFrame, size: int = SIZE):
             for b in batches:
                 b = b.filter(pa.array(may_hold(bits.value, b.column("node").to_numpy(zero_copy_only=False))))
                 data, offsets = text_buffer(b.column("text"))
-                for i, j in chunks(offsets):
+                for i, j in chunks(offsets, SMALL_CHUNK_BYTES):
                     sets = shingle_sets(data, offsets[i : j + 1], size)
                     yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 

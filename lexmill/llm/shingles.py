@@ -16,6 +16,8 @@ from .common import mix64
 
 #: Bytes of text handled at once; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 20
+#: The same where many hash functions run over each shingle, so that a worker's arrays stay small.
+SMALL_CHUNK_BYTES = 1 << 18
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -28,12 +30,17 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64. Those of up to CHUNK_BYTES are kept for the next call; a longer text's are
+    made anew, so that it leaves nothing behind in its worker."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.ones(max(n, CHUNK_BYTES), np.uint64)
-        out[1:] = np.uint64(base)
-        _powers[base] = have = np.cumprod(out, dtype=np.uint64)
+        # as many as the chunks in use need, in steps
+        size = next((s for s in (SMALL_CHUNK_BYTES, CHUNK_BYTES) if n <= s), n)
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        have = np.cumprod(out, out=out)
+        if size <= CHUNK_BYTES:
+            _powers[base] = have
     return have[:n]
 
 
