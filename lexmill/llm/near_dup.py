@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .forest import LONGEST, Forest, sketches
 from .linking import bit_filter, may_hold, set_key
 from .shingles import SMALL_CHUNK_BYTES, chunks, functions, shingle_sets, text_buffer
@@ -70,12 +70,13 @@ def document_sets(docs: DataFrame, size: int = SIZE):
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs."""
-    sketched = cut(sketch(docs, size))
-    nodes = cut(
-        sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key", F.col("n_shingles").alias("n"))
-        .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "sig")).alias("m")).select("set_key", "n", "m.*")
-    )
-    found = Forest(nodes, document_sets(docs, size), percent, TREES).run()
+    with small_batches(docs.sparkSession):
+        sketched = cut(sketch(docs, size))
+        nodes = cut(
+            sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key", F.col("n_shingles").alias("n"))
+            .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "sig")).alias("m")).select("set_key", "n", "m.*")
+        )
+        found = Forest(nodes, document_sets(docs, size), percent, TREES).run()
     classes = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.coalesce(F.col("c"), F.col("doc_id").cast("long"))
