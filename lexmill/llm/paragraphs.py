@@ -2,8 +2,8 @@
 
 A unit is a run of words of one text, named by its first word. There are two kinds, and no word is without a unit:
 
-* `line`: a line of `MIN_WORDS` words or more, and a text of under `RUN` words without such a line as a whole. Shorter
-  lines are compared as parts of passages: by itself such a line (a heading, a license line) is no repeated paragraph.
+* `line`: every line with a word, however short, and a text of several lines with under `RUN` words as a whole too, so
+  that it meets the same words on other lines.
 * `passage`: `PASSAGE` words whose place the words choose, whatever lines they span: of all starts in each run of `RUN`
   words the one whose first five words have the least rank. So every run of `RUN` words that two texts share, inside a
   line or across lines, holds a passage that is cut alike in both.
@@ -18,10 +18,10 @@ Two hashes a band and a place are moved for a unit; a later copy in a block of t
 Copies (the same words in order) are told in that one exchange and are one node from there on; sets are made only for
 lines that collide with other words.
 
-Null and empty texts have no units; a text of fewer than five words has its whole sequence as its one shingle. Repeated
+Null and empty texts have no units; a unit of fewer than five words has its whole sequence as its one shingle. Repeated
 rows of one doc_id and text count as one document; of rows of one doc_id with different texts, a unit of any of them
 stands for all that start at its word. Rows with a null doc_id are left alone; a doc_id outside of
-0 .. 2**37-1 or a text of over 2**25 words raises ValueError. Extra columns are not read.
+0 .. 2**37-1 or a text of 2**25 words raises ValueError. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ from .linking import Linker, bit_filter, may_hold
 from .shingles import chunks, combine, functions, sequence_hash, text_buffer, words
 
 SIZE = 5
-MIN_WORDS = 20
 PERCENT = 80
 #: Words of a passage, and of a shared run that is sure to hold one.
 PASSAGE, RUN = 21, 50
@@ -50,6 +49,8 @@ BANDS, DEPTH = (10, 1), 3
 #: A place is the doc_id, the kind and the first word in one number.
 KIND_BIT = 25
 MAX_ID = (1 << 63 - KIND_BIT - 1) - 1
+#: Stands for the first word of a whole text in its place, after those of its lines.
+WHOLE = (1 << KIND_BIT) - 1
 #: Rank of a word sequence: the words' numbers times these, modulo PRIME. Fixed, as the SQL has the same.
 PRIME, FACTORS = 2147483647, (1103515245, 1664525, 214013, 16843009, 69069)
 #: Word numbers kept by a worker before its table starts anew.
@@ -58,12 +59,13 @@ _numbers: dict[int, int] = {}
 
 
 class Units(NamedTuple):
-    """Units of a block of texts: row, kind, first word and number of words; shingles of all (flat, with bounds)."""
+    """Units of a block of texts: row, kind, first word, number of words and whether it is a whole text; shingles of all (flat, with bounds)."""
 
     row: np.ndarray
     kind: np.ndarray
     start: np.ndarray
     count: np.ndarray
+    whole: np.ndarray
     flat: np.ndarray
     at: np.ndarray
 
@@ -85,8 +87,9 @@ def word_numbers(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends:
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def line_spans(data: np.ndarray, starts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, end) of the line units of texts whose words start at `starts`; row r has words bounds[r]:bounds[r + 1]."""
+def line_spans(data: np.ndarray, starts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, end, whether it is a whole text) of the line units of texts whose words start at `starts`; row r
+    has words bounds[r]:bounds[r + 1]."""
     lo = int(starts[0]) if len(starts) else 0
     breaks = lo + np.flatnonzero(data[lo : int(starts[-1])] == 10) if len(starts) else starts
     line = np.searchsorted(breaks, starts)
@@ -95,12 +98,10 @@ def line_spans(data: np.ndarray, starts: np.ndarray, bounds: np.ndarray) -> tupl
     opens[bounds[:-1][np.diff(bounds) > 0]] = True
     first = np.flatnonzero(opens)
     end = np.append(first[1:], len(starts))[: len(first)]
-    long = end - first >= MIN_WORDS
-    first, end = first[long], end[long]
     row = np.searchsorted(bounds, first, "right") - 1
-    count = np.diff(bounds)
-    whole = np.flatnonzero((count > 0) & (count < RUN) & (np.bincount(row, minlength=len(count)) == 0))
-    return np.concatenate([row, whole]), np.concatenate([first, bounds[whole]]), np.concatenate([end, bounds[whole + 1]])
+    whole = np.flatnonzero((np.diff(bounds) < RUN) & (np.bincount(row, minlength=len(bounds) - 1) > 1))
+    is_whole = np.arange(len(row) + len(whole)) >= len(row)
+    return np.concatenate([row, whole]), np.concatenate([first, bounds[whole]]), np.concatenate([end, bounds[whole + 1]]), is_whole
 
 
 def passage_starts(rank: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,7 @@ def passage_starts(rank: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 def units(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> Units:
     hashes, starts, ends, bounds = words(data, offsets)
-    row, first, end = line_spans(data, starts, bounds)
+    row, first, end, whole = line_spans(data, starts, bounds)
     numbers = word_numbers(data, hashes, starts, ends)
     rank = np.full(len(numbers), PRIME, np.int64)
     if len(numbers) >= size:
@@ -135,6 +136,7 @@ def units(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> Units:
     rolled = combine(hashes, size)
     row, first, end = np.concatenate([row, prow]), np.concatenate([first, pfirst]), np.concatenate([end, pfirst + PASSAGE])
     kind = np.repeat(np.array([0, 1]), [len(row) - len(prow), len(prow)])
+    whole = np.concatenate([whole, np.zeros(len(prow), bool)])
     count = end - first
     sizes = np.maximum(count - size + 1, 1)
     at = np.zeros(len(row) + 1, np.int64)
@@ -144,14 +146,14 @@ def units(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> Units:
     flat = rolled[np.minimum(index, len(rolled) - 1)] if len(rolled) else np.zeros(at[-1], np.uint64)
     for i in np.flatnonzero(short).tolist():
         flat[at[i]] = sequence_hash(hashes[first[i] : end[i]])
-    return Units(row, kind, first - bounds[row], count, flat, at)
+    return Units(row, kind, first - bounds[row], count, whole, flat, at)
 
 
 def places(ids: np.ndarray, u: Units) -> np.ndarray:
     """Numbers of units whose rows have these doc_ids."""
-    if len(u.row) and (ids.min() < 0 or ids.max() > MAX_ID or u.start.max() >= 1 << KIND_BIT):
+    if len(u.row) and (ids.min() < 0 or ids.max() > MAX_ID or u.start.max() >= WHOLE):
         raise ValueError(f"doc_id must be in 0 .. {MAX_ID} and a text have under {1 << KIND_BIT} words")
-    return (ids[u.row] << KIND_BIT + 1) | (u.kind << KIND_BIT) | u.start
+    return (ids[u.row] << KIND_BIT + 1) | (u.kind << KIND_BIT) | np.where(u.whole, WHOLE, u.start)
 
 
 def band_keys(u: Units, node: np.ndarray, muls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,12 +300,12 @@ def removed_units(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     copies = shared.filter("region is null").select("node", F.col("other").alias("rep"), "n_words").distinct()
     kept = copies.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "n_words", F.coalesce("component", "rep").alias("kept"))
     merged = members.select("node", "n_words").distinct().join(found, "node").select("node", "n_words", F.col("component").alias("kept"))
-    number = F.lit((1 << KIND_BIT) - 1)
+    start = lambda c: F.when(F.col(c).bitwiseAND(F.lit(WHOLE)) == WHOLE, 0).otherwise(F.col(c).bitwiseAND(F.lit(WHOLE)))
     out = kept.unionByName(merged).filter("kept <> node").select(
         F.shiftright("node", KIND_BIT + 1).alias("doc_id"),
         F.when(F.shiftright("node", KIND_BIT).bitwiseAND(F.lit(1)) == 0, KINDS[0]).otherwise(KINDS[1]).alias("kind"),
-        F.col("node").bitwiseAND(number).alias("start"), F.col("n_words").cast("long").alias("n_words"),
-        F.shiftright("kept", KIND_BIT + 1).alias("kept_doc_id"), F.col("kept").bitwiseAND(number).alias("kept_start"),
+        start("node").alias("start"), F.col("n_words").cast("long").alias("n_words"),
+        F.shiftright("kept", KIND_BIT + 1).alias("kept_doc_id"), start("kept").alias("kept_start"),
     )
     return out.filter("doc_id <> kept_doc_id or start - kept_start >= n_words")
 

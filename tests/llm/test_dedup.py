@@ -104,15 +104,14 @@ def test_first_of_each_keeps_clean_documents(spark):
 
 
 def plain_units(text):
-    """{(kind, start): words} of a text, read line by line and run by run."""
+    """{(kind, start): words} of a text, read line by line and run by run; a whole text starts at paragraphs.WHOLE."""
     lines = [x for x in map(words_of, (text or "").split("\n")) if x]
     ws, out, at = [w for x in lines for w in x], {}, 0
     for x in lines:
-        if len(x) >= 20:
-            out["line", at] = x
+        out["line", at] = x
         at += len(x)
-    if ws and len(ws) < 50 and not out:
-        out["line", 0] = ws
+    if len(ws) < 50 and len(lines) > 1:
+        out["line", paragraphs.WHOLE] = ws
     number = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in ws]
     rank = [sum(a * b for a, b in zip(number[i : i + 5], paragraphs.FACTORS)) % 2147483647 for i in range(len(ws) - 4)]
     for p in range(len(ws) - 49):
@@ -126,7 +125,8 @@ def plain_removed(texts):
     for kind in paragraphs.KINDS:
         all_ = {(i, k[1]): w for i, t in enumerate(texts) for k, w in plain_units(t).items() if k[0] == kind}
         top = brute_components({k: shingles(" ".join(w)) if kind == "line" else {tuple(w)} for k, w in all_.items()}, 80)
-        want |= {(i, kind, s, len(all_[i, s]), *top[i, s]) for i, s in all_ if top[i, s] != (i, s) and (top[i, s][0] != i or s - top[i, s][1] >= len(all_[i, s]))}
+        found = {(i, kind, s % paragraphs.WHOLE, len(all_[i, s]), top[i, s][0], top[i, s][1] % paragraphs.WHOLE) for i, s in all_ if top[i, s] != (i, s)}
+        want |= {r for r in found if r[4] != r[0] or r[2] - r[5] >= r[3]}
     return want
 
 
@@ -156,7 +156,18 @@ def test_units_match_brute_force(spark):
     assert {tuple(r) for r in got} == plain_removed(texts) and len(got) == len(set(got))
     inside = {r.doc_id for r in got if r.kind == "passage" and r.kept_doc_id == r.doc_id - 40 and at[r.doc_id] <= r.start <= at[r.doc_id] + 29}
     assert inside == set(range(40, 80))
-    assert {(r.doc_id, r.kept_doc_id) for r in got if 120 <= r.doc_id < 124} == {(123, 122)}  # a short line alone is no unit of its own
+    assert {(r.doc_id, r.start, r.kept_doc_id) for r in got if 120 <= r.doc_id < 124} == {(121, 1, 120), (123, 0, 122)}
+
+
+def test_short_lines_are_compared(spark):
+    """Lines of under 20 words, at the bound and under it, beside long lines and in short texts; one text on other lines."""
+    w = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    long, other = " ".join(f"l{i}" for i in range(25)), " ".join(f"m{i}" for i in range(60))
+    texts = [f"{w(0, 19)}\n{long}", f"{other}\n{w(0, 16)}", f"{w(0, 15)}\nx", "x", "a b\nc d e f g\nh", "a b c d\ne f g h", f"{w(40, 45)}\n{w(50, 70)}", f"{w(40, 45)} {w(50, 70)}"]
+    got = {tuple(r) for r in paragraphs.removed_units(frame(spark, texts).repartition(3)).collect()}
+    # 12 of 15 shingles are at the bound; the third text's line and whole text are linked by way of the second
+    want = {(1, "line", 60, 16, 0, 0), (2, "line", 0, 15, 0, 0), (2, "line", 0, 16, 0, 0), (3, "line", 0, 1, 2, 15), (5, "line", 0, 8, 4, 0), (7, "line", 0, 25, 6, 0)}
+    assert got == want == plain_removed(texts)
 
 
 @pytest.mark.parametrize("small", [48, 2])
