@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -75,6 +75,18 @@ def may_hold(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return (bits[word] >> bit) & np.uint64(1) > 0
 
 
+def in_filter(wanted: DataFrame) -> Callable[[Column], Column]:
+    """A test of names (no nulls) that is false only for names that are not among the nodes of `wanted`; other columns of
+    a row stay in the JVM."""
+    bits = wanted.sparkSession.sparkContext.broadcast(bit_filter(wanted))
+
+    @F.arrow_udf("boolean")
+    def held(node: pa.Array) -> pa.Array:
+        return pa.array(may_hold(bits.value, node.to_numpy(zero_copy_only=False)))
+
+    return held
+
+
 class Linker:
     """Links of nodes whose full sets come from a table `sets` (node, hashes) or are read for the nodes that need them.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .forest import LONGEST, Forest, sketches
-from .linking import bit_filter, may_hold, set_key
+from .linking import bit_filter, in_filter, may_hold, set_key
 from .shingles import SMALL_CHUNK_BYTES, chunks, functions, shingle_sets, text_buffer
 
 SIZE = 5
@@ -93,11 +93,11 @@ def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     # rows travel as one struct, so no column of docs can clash with those made here
     named = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").isNotNull(), made)).alias("id"))
     found = near_duplicates(named.select(F.col("id").alias("doc_id"), "text"), size, percent)
-    kept = cut(found.filter("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies")))
+    ids = cut(found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("kept").alias("kept"), F.count("*").alias("copies")))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    of = lambda ids: named.filter(worded).join(ids.select("kept_id"), F.col("id") == F.col("kept_id"), "left_semi")
-    out = of(kept.filter("copies = 1")).unionByName(named.filter(~worded)).select("row")
-    several = kept.filter("copies > 1")
-    if not several.isEmpty():
-        out = out.unionByName(of(several).groupBy("id").agg(F.min_by("row", F.sha2("text", 256)).alias("row")).select("row"))
-    return out.select("row.*")
+    # rows whose id the filter does not know stay for sure and are not moved; of the others those that stay are joined
+    known = in_filter(ids.filter("not kept or copies > 1"))
+    doubt = cut(ids.filter("kept").filter(known(F.col("node"))).select("node"))
+    sure = named.filter(~worded | ~known(F.coalesce("id", F.lit(0)))).select("row")
+    met = named.filter(worded).filter(in_filter(doubt)(F.col("id"))).join(doubt, F.col("id") == F.col("node"), "left_semi")
+    return sure.unionByName(met.groupBy("id").agg(F.min_by("row", F.sha2("text", 256)).alias("row")).select("row")).select("row.*")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .linking import in_filter
 
 KINDS = ("assign", "access", "hex", "owned")
 #: Patterns fixed by the contract.
@@ -125,11 +126,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS
     """docs with every reported span of the text replaced by a mark; all columns pass, n_chars follows the text.
 
     Spans follow from a text and the verdicts on its values, so rows find theirs by doc_id and text: rows with a null
-    doc_id, or of one doc_id with different texts, are masked each at its own places.
+    doc_id, or of one doc_id with different texts, are masked each at its own places. Texts are moved to their spans only
+    where a bit filter does not tell that they have none.
     """
-    hit = classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")).dropDuplicates(["d", "t"])
+    hit = cut(classified(docs, max_owners).filter(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")).dropDuplicates(["d", "t"]))
+    marked = in_filter(hit.select(F.xxhash64("d", "t").alias("node")))(F.xxhash64("id", "key"))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.unhex(F.sha2("text", 256)).alias("key"))
-    both = packed.join(hit, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), "left").select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "spans")
+    both = packed.filter(marked).join(hit, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), "left").select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "spans")
     docs_columns, width = docs.columns, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,4 +146,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS
                     b = b.set_column(n, b.schema.field(n), pa.array([c if s is None or x is None else len(x) for c, x, s in zip(b.column(n).to_pylist(), texts, spans.to_pylist())], b.schema.field(n).type))
             yield b
 
-    return both.mapInArrow(run, docs.schema)
+    return packed.filter(~marked).select("row.*").union(both.mapInArrow(run, docs.schema))

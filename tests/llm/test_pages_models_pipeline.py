@@ -1,6 +1,7 @@
 import hashlib
 import importlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -167,3 +168,40 @@ def test_bounded_samples(spark):
 
 def test_signs_of_numbers_are_no_letters():
     assert not any(language.has_letter(x) for x in ("²", "½", "①", "Ⅷ", "12_3", "")) and language.has_letter("½ a") and language.has_letter("ж")
+
+
+def moved_mb(spark, run):
+    """MB that the executors write to shuffles while run() lasts."""
+
+    def written():
+        time.sleep(0.3)
+        spark.range(10).count()  # brings the figures of the tasks before it
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite() / 1e6
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_texts_that_stay_as_they_are_are_not_moved(spark, tmp_path):
+    pipe = importlib.import_module("corpus_pipeline")
+    rnd = np.random.default_rng(4)
+    own = lambda: " ".join(np.char.add("w", rnd.integers(0, 10**9, 400).astype(str)))
+    texts = [own() for _ in range(800)]
+    rows = [(i, t, None, "s", len(t or "")) for i, t in enumerate([*texts, *texts[:5], *(f"{t} secret=abcdefghij0123456789" for t in texts[5:10]), None, ""])]
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    size = sum(len(r[1] or "") for r in rows) / 1e6
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sketched = moved_mb(spark, lambda: near_dup.near_duplicates(docs, percent=80).collect())
+        out = {}
+        near = moved_mb(spark, lambda: out.update(near=pipe.near_duplicates(spark, docs, "").collect()))
+        secret = moved_mb(spark, lambda: out.update(secret=pipe.secret_scan(spark, docs, "").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r.doc_id for r in out["near"]) == [*range(800), 810, 811]
+    assert {r.doc_id: r.text for r in out["secret"]} == {r[0]: r[1] and r[1].replace("secret=abcdefghij0123456789", "[SECRET]") for r in rows}
+    assert near - sketched < size / 3 and secret < size / 3, (near, sketched, secret, size)
