@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import bpe, decontaminate, near_dup, quality_rules, secrets
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import bound_batches, cut, table
 from lexmill.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the policy rejects."""
+    bound_batches(spark)  # for all stages: their last steps run when the caller writes what they return
     return quality_rules.passing(docs)
 
 
