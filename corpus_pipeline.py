@@ -32,7 +32,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of all documents, with digests of the ids and of the decoded text."""
-    return bpe.encode_docs(docs, tokenizer_path())
+    return bpe.encode_docs(docs, tokenizer_path(), forget=True)
 
 
 STAGES = [

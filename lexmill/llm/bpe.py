@@ -158,8 +158,9 @@ def tokenizer(spec: str) -> WordBpe:
     return _built[key]
 
 
-def encode_docs(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, with `ids` (array<int>) and `decoded` where asked for."""
+def encode_docs(docs: DataFrame, path: str, ids: bool = False, forget: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, with `ids` (array<int>) and `decoded` where asked for.
+    With `forget` a task leaves no word tables behind in its worker, which other operators may get next."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if ids else [])]
@@ -175,8 +176,8 @@ def encode_docs(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                 rows.append((len(got), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *((got, back) if ids else ())))
             cols = zip(*rows) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, (_, k) in zip(cols, kinds))], ["doc_id", *(n for n, _ in kinds)])
-        # other operators may get this worker next: words are learnt anew in each task
-        t.words, t.older = {}, {}
+        if forget:
+            t.words, t.older = {}, {}
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids)
