@@ -1,6 +1,7 @@
 """Text functions and grouping rules against hand-made cases."""
 
 import difflib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,22 @@ def test_semantic_units():
     assert len(P.semantic_units([f"句子{i}。" for i in range(100)])) <= 30
 
 
+def test_mcnemar_of_many_pairs_is_exact_and_quick():
+    from math import comb
+
+    for a, b in ((1001, 1000), (1500, 1500), (1400, 1300), (2500, 7), (4000, 1), (2001, 0)):
+        n, c, total = a + b, 1, 0
+        for i in range(min(a, b) + 1):
+            total += c
+            c = c * (n - i) // (i + 1)
+        assert c == comb(n, min(a, b) + 1)
+        want = min(1.0, 2 * total / 2**n)
+        assert abs(metrics.mcnemar(a, b) - want) <= 1e-11 * want
+    began = time.process_time()
+    assert 0.31 < metrics.mcnemar(1_000_500, 999_080) < 0.32 and metrics.mcnemar(3_000_000, 1_000_000) == 0.0
+    assert time.process_time() - began < 5
+
+
 def test_complete_link_groups():
     e = [(1, 2, 0.9, 0.9, "p"), (2, 3, 0.8, 0.8, "q")]
     assert grouping.complete_link(e, 9) == {1: 1, 2: 1, 3: 3}
