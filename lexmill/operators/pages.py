@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import bound_batches
+
 #: Elements whose text is never content, and elements that end a block.
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "video", "audio", "head", "button"}
 BLOCK = set("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -66,13 +68,14 @@ def page_blocks(html: str | None) -> tuple[list[str], list[str]]:
 
 
 def block_rows(pages: DataFrame) -> DataFrame:
-    """page_id, blocks, subheadings of each page; batched, no shuffle."""
+    """page_id, blocks, subheadings of each page; in batches of bounded bytes, no shuffle."""
 
     def run(batches):
         for b in batches:
             got = [page_blocks(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "blocks": [g[0] for g in got], "subheadings": [g[1] for g in got]})
 
+    bound_batches(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, f"page_id {dict(pages.dtypes)['page_id']}, blocks array<string>, subheadings array<string>")
 
 
