@@ -85,3 +85,32 @@ def test_turn_support_matches_a_plain_loop(spark):
             want[b["conv_id"] * 1000 + b["turn"]] = (tuple(facts.unsupported_numbers(b["text"], a["text"])), *(len(x) for x in (named[0] & named[1], named[0] - named[1], named[1] - named[0])))
     got = {r.id: (tuple(r.unsupported_numbers), len(r.retained), len(r.missing), len(r.new)) for r in catalogue.QUERIES["turn_fact_support"](spark, SF).collect()}
     assert got == want and len(want) > 0
+
+
+def test_evidence_is_read_once_for_all_facts(monkeypatch):
+    read = []
+    for name in ("evidence_numbers", "_dates"):
+        monkeypatch.setattr(facts, name, lambda x, f=getattr(facts, name): read.append(x) or f(x))
+    ps = ["".join(f"第{i}次会议于2024年5月{i}日举行，代表{i + 100}家到会" for i in range(1, 29)), "另一段没有数字。"]
+    units = python_text.semantic_units(ps)
+    found = [{"fact_id": f"F{i:02d}", "fact": t, "evidence_paragraph_ids": ids} for i, (ids, t) in enumerate(units, 1)]
+    assert sum(ids == [1] for ids, _ in units) > 5 and facts.validate_facts(found, ps) == []
+    assert read == [ps[0], ps[0]]  # once for numbers, once for dates; a paragraph whose facts name neither is not read
+
+
+@pytest.mark.parametrize("read", [lambda n: facts._dates("5月1日，" * n), lambda n: facts.count_supported("3", "共3项", "甲、" + "乙和" * n)])
+def test_reading_evidence_grows_with_its_length(read):
+    from time import process_time
+
+    def took(n):
+        start = process_time()
+        read(n)
+        return process_time() - start
+
+    least = [min(took(n) for _ in range(3)) for n in (2_000, 16_000)]
+    assert least[1] < 24 * max(least[0], 1e-4)
+
+
+def test_and_parts_items_after_the_last_comma_only():
+    for n, listed in (("4", "甲和乙、丙、丁及戊。"), ("4", "甲以及乙、丙以及丁。"), ("3", "以以及及、丙。"), ("4", "丙、以以及及。")):
+        assert facts.count_supported(n, f"共{n}项", listed) and not facts.count_supported("5", "共5项", listed)
