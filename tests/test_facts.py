@@ -114,3 +114,12 @@ def test_reading_evidence_grows_with_its_length(read):
 def test_and_parts_items_after_the_last_comma_only():
     for n, listed in (("4", "甲和乙、丙、丁及戊。"), ("4", "甲以及乙、丙以及丁。"), ("3", "以以及及、丙。"), ("4", "丙、以以及及。")):
         assert facts.count_supported(n, f"共{n}项", listed) and not facts.count_supported("5", "共5项", listed)
+
+
+def test_numbers_of_any_length():
+    ones, zeros = "1" * 5000, "0" * 5000
+    assert facts.fact_numbers(f"{ones} {zeros}3") == {ones, f"{zeros}3", "3"}
+    assert facts.unsupported_numbers(f"共{ones}项", "无") == [ones] and facts.unsupported_numbers(f"共{zeros}3项", "甲、乙、丙。") == ["3"]
+    assert ones in facts.evidence_numbers(f"{'一' * 5000}点二") and numerals.canonical("一" * 5000 + "个") == ones + "个"
+    assert numerals.canonical("亿" * 600 + "个") == "1" + "0" * 4800 + "个"
+    assert facts.validate_facts([{"fact_id": "F01", "fact": ones, "evidence_paragraph_ids": [1]}], [f"共{ones}项"]) == []
